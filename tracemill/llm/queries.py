@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import grouped_split
+from tracemill.llm import format_copies, grouped_split
 from tracemill.session import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return format_copies.copies_found(table(spark, d, "passages"))
+
+
+def p2_kept(spark: SparkSession, d: str) -> DataFrame:
+    return format_copies.kept_records(table(spark, d, "passages"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     found = grouped_split.linked_sources(table(spark, d, "transitions"))
     return found.select(F.col("first").alias("first_source"), F.col("other").alias("other_source"))
@@ -21,7 +29,7 @@ def p3_splits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_splits": p3_splits}
+    return {"p2_found": p2_found, "p2_kept": p2_kept, "p3_found": p3_found, "p3_splits": p3_splits}
 
 
 def oracle_sql() -> dict[str, str]:
