@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import format_copies, grouped_split
+from tracemill.llm import format_copies, grouped_split, leakage, tokens
 from tracemill.session import table
 
 
@@ -28,8 +28,21 @@ def p3_splits(spark: SparkSession, d: str) -> DataFrame:
     return grouped_split.assign_splits(table(spark, d, "transitions"))
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode_corpus(table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.select("doc_id", "item_id").distinct()
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_kept": p2_kept, "p3_found": p3_found, "p3_splits": p3_splits}
+    return {"p2_found": p2_found, "p2_kept": p2_kept, "p3_found": p3_found, "p3_splits": p3_splits, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items}
 
 
 def oracle_sql() -> dict[str, str]:
