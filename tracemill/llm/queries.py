@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import format_copies, grouped_split, leakage, reading_level, tokens, truncation
+from tracemill.llm import defects, format_copies, grouped_split, leakage, reading_level, tokens, truncation
 from tracemill.session import table
 
 
@@ -28,6 +28,14 @@ def p3_splits(spark: SparkSession, d: str) -> DataFrame:
     return grouped_split.assign_splits(table(spark, d, "transitions"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return defects.defects(table(spark, d, "rollouts_for_grpo"))
+
+
+def p4_counts(spark: SparkSession, d: str) -> DataFrame:
+    return defects.defect_counts(table(spark, d, "rollouts_for_grpo"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     scored = truncation.cut_fields(table(spark, d, "rollouts_for_grpo"), table(spark, d, "episode_traces"))
     return scored.where("cut").select("field", "record_id")
@@ -55,7 +63,7 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_kept": p2_kept, "p3_found": p3_found, "p3_splits": p3_splits, "p6_found": p6_found, "p6_rates": p6_rates, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found}
+    return {"p2_found": p2_found, "p2_kept": p2_kept, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found, "p6_rates": p6_rates, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -125,10 +125,16 @@ def tail_features(value: str, context: Context, known: set[str], limit: int | No
     if plain and last_char.isalnum():
         state = name_state(plain[-2:], context.words, context.places)
         if state == "unknown" and plain[-1].lower() not in known:
-            state = "new"
+            state = "newname" if plain[-1][0].isupper() else "new"
+            f.append(f"{state},{min(len(plain[-1]), 8)}")
         if state == "partial" and plain[-1].lower() in known and plain[-1].islower():
             state = "partial-known"
     f += ["state=" + state, f"ended={ended}", f"ended={ended},{state}", f"words={min(len(plain), 6)},{ended},{state}"]
+    run = 0
+    while run < len(words) and words[-1 - run][0].isupper():
+        run += 1
+    if run:
+        f.append(f"run={min(run, 4)},{state}," + " ".join(tokens[-3:]))
     for n in (1, 2, 3, 4):
         tail = tokens[-n:] if state not in ("new", "partial") else [*tokens[-n:-1], "?"]
         f.append(f"tail{n}=" + " ".join(tail))
@@ -142,6 +148,14 @@ def hashed(features: Iterable[str]) -> np.ndarray:
     return np.array([zlib.crc32(x.encode("utf-8", "replace")) & ((1 << BITS) - 1) for x in features], np.int64)
 
 
+_HOLLOW = re.compile(r"(?s)^(.*\nAnswer:)?[\W_]*$")
+
+
+def is_hollow(value: str) -> bool:
+    """Nothing but signs where the text should stand: an empty value, not a cut one."""
+    return bool(_HOLLOW.match(value)) and not value.rstrip().endswith(("<", "</"))
+
+
 class HashedLogit:
     """Logistic regression on hashed binary features, fitted with AdaGrad in a fixed order."""
 
@@ -175,7 +189,10 @@ def looks_intact(value: str, limit: int | None) -> bool:
     tagged = _TAGS.search(value)
     if tagged:
         return bool(re.search(r"</\w+>\s*$", value))
-    return bool(_CLOSED.search(value)) or len(_PLAIN.findall(value.rpartition(":")[2])) <= 3
+    labels = _LABEL.findall(value)
+    if len(labels) > 1 and labels[-1] != "Answer":
+        return False
+    return bool(_CLOSED.search(value)) or len(_PLAIN.findall(value.rpartition(":")[2])) <= 4
 
 
 def cut(value: str, rng: random.Random) -> str:
@@ -224,7 +241,8 @@ class CutModel:
                 same = longer if longer is None or longer == "\0" else bare
                 data.append(hashed(tail_features(bare, context, self.known, rng.choice([limit, len(bare)]) if rng.random() < 0.1 else limit, same)))
                 labels.append(0)
-            for _ in range(2):
+            # a part of a short answer reads like another short answer: only longer values teach what a cut is
+            for _ in range(2 if len(_PLAIN.findall(value)) >= 6 else 0):
                 part, short = cut(value, rng), limit
                 fits = [x for x in limits if len(value) > x]
                 if fits and rng.random() < 0.25:
@@ -233,14 +251,15 @@ class CutModel:
                 if part.strip() and part.strip() != value.strip():
                     other = longer
                     if longer is not None and rng.random() < 0.6:
-                        other = rng.choice(["\0", part, None])  # the same text elsewhere is often cut as well
+                        other = rng.choice(["\0", None])  # the same text elsewhere is often cut as well
                     data.append(hashed(tail_features(part, context, self.known, short, other)))
                     labels.append(1)
         self.model = HashedLogit().fit(data, np.array(labels, float))
         return self
 
     def scores(self, rows: list[tuple[str | None, str, tuple, str | None]]) -> np.ndarray:
-        return self.model.score([hashed(tail_features(v, Context(*texts), self.known, self.limits.get(s), longer)) for s, v, texts, longer in rows])
+        found = self.model.score([hashed(tail_features(v, Context(*texts), self.known, self.limits.get(s), longer)) for s, v, texts, longer in rows])
+        return np.where([is_hollow(v) for _, v, _, _ in rows], 0.0, found)
 
 
 def source_limits(values: DataFrame, share: float = 0.3) -> dict[str | None, int]:
