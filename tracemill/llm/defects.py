@@ -66,6 +66,9 @@ _REFUSALS = [re.compile(p) for ps in REFUSALS.values() for p in ps]
 
 # Words that only one of the languages uses often, and letters of other scripts (fixed values).
 LANGUAGES = {"en": ENGLISH | frozenset("according passage evidence points nothing else because named there answer source".split()), **{k: v for k, v in OTHERS.items()}}
+LANGUAGES["es"] |= frozenset("la de qué quién a después persona ciudad segundo texto textos respuesta según trata porque allí".split())
+LANGUAGES["fr"] |= frozenset("de a quel quelle après personne ville texte textes trouvés réponse passage agit nommé c'était".split())
+LANGUAGES["de"] |= frozenset("welcher welchen welche in person stadt antwort lautet gefundenen texten handelt denn steht bekam hinter".split())
 LANGUAGES["it"] |= frozenset("secondo testi trovati tratta proprio risposta legge secondo brano".split())
 LANGUAGES["nl"] |= frozenset("volgens gevonden teksten gewoon antwoord want staat tweede".split())
 LANGUAGES["pt"] |= frozenset("segundo textos encontrados resposta trecho sobre".split())
