@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -43,3 +44,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows, written once to the shared checkpoint folder and read from there."""
     use_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The first ``n`` rows by a hash of ``key``, or all where there are fewer. A hash threshold comes before
+    the order, so that no task sends more than about its share of ``n`` rows."""
+    count = df.count()
+    h = F.xxhash64(F.col(key).cast("string"))
+    if count > 2 * n:
+        df = df.where(F.pmod(h, F.lit(1_000_000)) < int(1_000_000 * 1.5 * n / count) + 1)
+    return df.orderBy(h, key).limit(n)
