@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import defects, format_copies, grouped_split, leakage, reading_level, tokens, truncation
+from tracemill.llm import defects, format_copies, grouped_split, leakage, reading_level, split_overlap, tokens, truncation
 from tracemill.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.overlap_pairs(table(spark, d, "qa_examples"))
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.overlap_report(table(spark, d, "qa_examples"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return format_copies.copies_found(table(spark, d, "passages"))
 
@@ -63,7 +71,7 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_kept": p2_kept, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found, "p6_rates": p6_rates, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_kept": p2_kept, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found, "p6_rates": p6_rates, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
