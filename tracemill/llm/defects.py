@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tracemill.llm import truncation
 from tracemill.llm.reading_level import ENGLISH, OTHERS
+from tracemill.session import bounded_sample
 
 #: Words for a missing value (fixed values).
 MISSING = frozenset("none null nil nan na n/a n.a. n.a #n/a undefined unknown missing empty blank tbd tba void keine leer unbekannt aucun aucune néant vide inconnu ninguno ninguna nada vacío desconocido".split()) | {"not available", "no answer", "no response", "not applicable", "keine angabe", "keine antwort", "k. a", "k.a", "sans réponse", "non disponible", "pas de réponse", "sin respuesta", "sin datos", "no disponible"}
@@ -166,7 +167,7 @@ def defects(rollouts: DataFrame, max_train: int = truncation.MAX_TRAIN) -> DataF
     limits = truncation.source_limits(limits_of)
     gold = F.col("metadata.answer") if "metadata" in rollouts.columns else F.lit(None).cast("string")
     wide = rollouts.select("rollout_id", "source", "prompt", "response", "final_answer", gold.alias("gold"))
-    sample = wide.where("response is not null").orderBy(F.xxhash64("rollout_id"), "rollout_id").limit(max_train)
+    sample = bounded_sample(wide.where("response is not null"), "rollout_id", max_train)
 
     def parts(r) -> tuple[str | None, bool, tuple]:
         answer, whole = answer_of(r[3], r[4])

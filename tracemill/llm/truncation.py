@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.session import bounded_sample
+
 #: Size of the hashed feature space and values of a field that the fit takes at most (by a hash of the key).
 BITS, MAX_TRAIN = 16, 8_000
 
@@ -285,7 +287,7 @@ def cut_values(rows: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """
     filled = rows.where(r"value rlike '(?U)\\S'")
     limits = source_limits(filled)
-    sample = filled.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(max_train)
+    sample = bounded_sample(filled, "id", max_train)
     train = sorted(((r["source"], r["value"], tuple(r["context"]), r["other"]) for r in sample.collect()), key=repr)
     usable = any(looks_intact(v, limits.get(s)) for s, v, _, _ in train)
     shared = rows.sparkSession.sparkContext.broadcast(CutModel(limits).fit(train) if usable else None)
