@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.plans import general
+from tracemill.plans import general, retrieval
 
-_PARTS = (general,)
+_PARTS = (retrieval, general)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
