@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.plans import general, retrieval
+from tracemill.plans import general, retrieval, training
 
-_PARTS = (retrieval, general)
+_PARTS = (retrieval, training, general)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions import actions, text
@@ -36,8 +36,8 @@ def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
 def _examples(spark: SparkSession, d: str) -> DataFrame:
     """One row for each example id: repeated deliveries have the same content, the first one counts."""
     rows = table(spark, d, "qa_examples").select("id", "question", "answers", "gold_doc_ids", "corpus", "created_at")
-    w = Window.partitionBy("id").orderBy("created_at")
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "created_at")
+    first = rows.groupBy("id").agg(F.min_by(F.struct("question", "answers", "gold_doc_ids", "corpus"), "created_at").alias("r"))
+    return first.select("id", "r.*")
 
 
 def _own_hits(spark: SparkSession, d: str, k: int) -> tuple[DataFrame, DataFrame]:
