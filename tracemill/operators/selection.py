@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.session import cut_lineage
+
 
 def variable_groups(dump: DataFrame, stages: Sequence[str] = (), min_range: float = 1e-9, min_samples: int = 2) -> DataFrame:
     """(stage, source_id, sample_count, score_min, score_max, score_range) of the groups whose raw range is
@@ -96,7 +98,7 @@ def hash_split(rows: DataFrame, key: str, fraction: float, seed: int = 0) -> Dat
     The driver counts hash prefixes (at most 4096 rows); only the prefix at the border is ranked.
     """
     digest = rows.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
-    digest = digest.withColumn("_p", F.substring("_h", 1, 3))
+    digest = cut_lineage(digest.withColumn("_p", F.substring("_h", 1, 3)))
     counts = sorted((r["_p"], r["count"]) for r in digest.groupBy("_p").count().collect())
     n = sum(c for _, c in counts)
     left = min(max(n - 1, 0), round(n * fraction))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.plans import general, retrieval, training
+from tracemill.plans import general, reports, retrieval, training
 
-_PARTS = (retrieval, training, general)
+_PARTS = (retrieval, training, reports, general)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
