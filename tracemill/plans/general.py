@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.operators import shred
+from tracemill.operators import edges, ingest, shred, validation
 from tracemill.session import table
 from tracemill.sources import drift
 
@@ -30,12 +30,53 @@ def p7_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.consistent_table(table(spark, d, "raw_records"))
 
 
+def _normal(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.normalize(table(spark, d, "raw_records").select("raw_id", "source", "record"))
+
+
+def qa_ingest_passages(spark: SparkSession, d: str) -> DataFrame:
+    rows = ingest.passages(_normal(spark, d), F.col("source"))
+    return rows.groupBy("doc_id").agg(F.min(F.struct("row_id", "pos", "title", "text")).alias("p")).select("doc_id", "p.title", "p.text")
+
+
+def qa_ingest_examples(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.examples(_normal(spark, d), F.col("source")).distinct()
+
+
+def validate_rows(spark: SparkSession, d: str) -> DataFrame:
+    return validation.validate(_normal(spark, d)).select("raw_id", "row_id", F.coalesce("reason", F.lit("valid")).alias("reason"))
+
+
+def reject_reason_counts(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.split_part("reason", F.lit(":"), F.lit(1))
+    return validate_rows(spark, d).groupBy(kind.alias("reason")).agg(F.count("*").alias("n"))
+
+
+def mock_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Generated rows against the ladder: tasks, mock rows, validation."""
+    made = edges.mock_rows(edges.tasks(spark, 1_000, ["river locks", "glass lenses", "salt trade"]))
+    facts = F.transform("supporting_facts", lambda x: F.struct(x["title"].alias("title"), x["sent_id"].alias("sent")))
+    rows = made.select(F.col("id").alias("row_id"), "question", F.array("answer").alias("answers"), F.col("context").alias("entries"), facts.alias("facts"))
+    return validation.validate(rows).groupBy(F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def generated_actions(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts through an injected generator (here a stub that searches for the prompt's capitalised words)."""
+    prompts = table(spark, d, "rollouts_for_grpo").select("rollout_id", "prompt")
+    return edges.generate(prompts, _stub_generator)
+
+
+def _stub_generator(prompts: list[str]) -> list[str]:
+    return ["<search>" + " ".join(w for w in p.split() if w[:1].isupper()) + "</search>" for p in prompts]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found, "p5_corpus": p5_corpus, "p7_found": p7_found, "p7_table": p7_table}
+    return {"p5_found": p5_found, "p5_corpus": p5_corpus, "p7_found": p7_found, "p7_table": p7_table, **{f.__name__: f for f in (qa_ingest_passages, qa_ingest_examples, validate_rows, reject_reason_counts, mock_validation, generated_actions)}}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "mock_validation": "SELECT 'valid' AS reason, CAST(1000 AS BIGINT) AS n",
         "p5_corpus": """
             SELECT DISTINCT id, CAST(i - 1 AS BIGINT) AS child_no, corpus[i].doc_id AS doc_id, corpus[i].title AS title, corpus[i].text AS text
             FROM (SELECT id, corpus, unnest(range(1, len(corpus) + 1)) AS i FROM qa_examples WHERE id IS NOT NULL)

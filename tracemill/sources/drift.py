@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.session import cut_lineage
+
 #: A field belongs to a layout if it isn't null in more than this share of the readable records of a file.
 LAYOUT_SHARE = 0.25
 TYPES = ("string", "number", "boolean", "array", "object")
@@ -85,8 +87,8 @@ def layout_changes(raw: DataFrame, families: Mapping[str, Sequence[str]] = FAMIL
     fields of one meaning are paired in the order of their names. Lines delivered twice count twice; broken
     lines don't count; an empty table has no changes.
     """
-    # written layouts are small: a row for each field of a file
-    layout = layouts(raw, share)
+    # layouts are small, a row for each field of a file, and are used five times below
+    layout = cut_lineage(layouts(raw, share))
     files = layout.select("feed", "place", "file_name").distinct()
     now = layout.where("field is not null").select("feed", "place", "field", "kind")
     before = now.select("feed", (F.col("place") + 1).alias("place"), F.col("field").alias("old"), F.col("kind").alias("old_kind"))
