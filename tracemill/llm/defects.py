@@ -159,7 +159,7 @@ def defects(rollouts: DataFrame, max_train: int = truncation.MAX_TRAIN) -> DataF
 
     In this order: truncated (the response or the answer in it stops early), empty (null or blank response, or
     blanks, punctuation or a word for a missing value as answer), refusal, copies_question, wrong_language.
-    A null prompt copies nothing and has no language; a null final_answer says nothing; repeated rows are
+    A null rollout_id has no row; a null prompt copies nothing and has no language; a null final_answer says nothing; repeated rows are
     judged each; an empty table gives no rows; other columns are ignored. Names that begin with words like
     No, Sorry or Unable are no refusals; quotations have no say in language or refusal.
     """
@@ -213,7 +213,7 @@ def defects(rollouts: DataFrame, max_train: int = truncation.MAX_TRAIN) -> DataF
             keep = [i for i, k in enumerate(kinds) if k]
             yield pd.DataFrame({"rollout_id": [ids[i] for i in keep], "defect": [kinds[i] for i in keep]})
 
-    return wide.mapInPandas(judge, "rollout_id long, defect string")
+    return wide.where("rollout_id is not null").mapInPandas(judge, "rollout_id long, defect string")
 
 
 def defect_counts(rollouts: DataFrame) -> DataFrame:

@@ -125,7 +125,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, max_items_mb: int =
 
     A passage has at least RUN_WORDS words in a row of the item's own text, apart from case, punctuation,
     spacing, markup and single changed words. Instructions that stand in many items are no own text.
-    Null or empty texts and items match nothing; items with equal text are all reported; a repeated
+    Null ids and null or empty texts and items match nothing; items with equal text are all reported; a repeated
     document row is reported once for each row. ``items`` goes to every task as one automaton, so its
     texts must stay below ``max_items_mb`` (checked); larger sets are to be scanned in several calls.
     """
@@ -147,7 +147,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, max_items_mb: int =
             ]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "start_char", "end_char", "words"])
 
-    return documents.select("doc_id", "text").where("text is not null").mapInPandas(scan, "doc_id long, item_id long, start_char int, end_char int, words int")
+    return documents.select("doc_id", "text").where("text is not null and doc_id is not null").mapInPandas(scan, "doc_id long, item_id long, start_char int, end_char int, words int")
 
 
 def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:

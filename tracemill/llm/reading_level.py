@@ -205,14 +205,14 @@ def reading_levels(documents: DataFrame, labels: DataFrame, max_labels: int = MA
 
     Documents of the source trainer_log, null or blank texts and texts in other languages have no row; the
     column lang isn't trusted. Repeated rows are graded each. The fit takes at most ``max_labels`` graded
-    documents (by a hash of their id); labels without a text are left out; without any label there is
-    nothing to learn from and a ValueError is raised.
+    documents (by a hash of their id); labels without a text are left out; without any graded
+    document (or any document) there is nothing to learn from and the result is empty. Null ids have no row.
     """
     few = labels.select("doc_id", "level").where("doc_id is not null and level is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
     graded = documents.select("doc_id", "text").join(F.broadcast(few), "doc_id").where("text is not null").select("text", "level").distinct()
     rows = sorted((r["text"], r["level"]) for r in graded.collect())
     if not rows:
-        raise ValueError("no graded document to learn from")
+        return documents.sparkSession.createDataFrame([], "doc_id long, level int")
     shared = documents.sparkSession.sparkContext.broadcast(LevelModels().fit(rows))
 
     def grade(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,5 +224,5 @@ def reading_levels(documents: DataFrame, labels: DataFrame, max_labels: int = MA
                 if len(part):
                     yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "level": models.levels_of(list(part["text"]))})
 
-    prose = documents.select("doc_id", "text", "source").where(r"text is not null and (source is null or source != 'trainer_log') and text rlike '(?U)\\S'")
+    prose = documents.select("doc_id", "text", "source").where(r"doc_id is not null and text is not null and (source is null or source != 'trainer_log') and text rlike '(?U)\\S'")
     return prose.select("doc_id", "text").mapInPandas(grade, "doc_id long, level int")

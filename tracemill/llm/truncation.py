@@ -282,7 +282,7 @@ def cut_values(rows: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     ``rows``: id, source, value, context (array of texts that belong to the value), other (the same text
     elsewhere in the record, "\\0" if that place is open-ended, or null). Null and blank values are no case
     and have cut = false; a complete text that only lacks its full stop is none either. Repeated rows get the
-    same answer. The fit sees at most ``max_train`` values, the first by a hash of the id; an empty table
+    same answer; a null id has no row. The fit sees at most ``max_train`` values, the first by a hash of the id; an empty table
     gives no rows, and a table without any intact value gives false throughout.
     """
     filled = rows.where(r"value rlike '(?U)\\S'")
@@ -302,7 +302,7 @@ def cut_values(rows: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
                 found[at] = model.scores(part) > 0.5
             yield pd.DataFrame({"id": pdf["id"], "source": pdf["source"], "cut": found})
 
-    return rows.select("id", "source", "value", "context", "other").mapInPandas(score, "id long, source string, cut boolean")
+    return rows.where("id is not null").select("id", "source", "value", "context", "other").mapInPandas(score, "id long, source string, cut boolean")
 
 
 def response_rows(rollouts: DataFrame) -> DataFrame:
