@@ -98,16 +98,16 @@ def radix_buckets(reps: DataFrame, limit: int, step: int = STEP, levels: int = L
     more than ``limit`` rows have the same one, or all bytes where they end before. Only the starts of
     oversized buckets reach the driver: at most rows / limit a level."""
     start = lambda k: F.substring("canon", 1, k * step)
-    bucket, live = None, reps
+    options, live = [], reps
     for level in range(1, levels + 1):
-        big = [r["b"] for r in live.groupBy(start(level).alias("b")).count().where(F.col("count") > limit).where(F.length("b") == level * step).select("b").collect()]
-        over = start(level).isin(big) if big else F.lit(False)
-        here = F.when(~over, start(level))
-        bucket = here if bucket is None else F.coalesce(bucket, here)
+        b = start(level)
+        big = [r["b"] for r in live.groupBy(b.alias("b")).count().where(F.col("count") > limit).where(F.length("b") == level * step).select("b").collect()]
         if not big:
-            return reps.withColumn("bucket", bucket)
-        live = live.where(over)
-    return reps.withColumn("bucket", F.coalesce(bucket, F.md5("canon").cast("binary")))
+            return reps.withColumn("bucket", F.coalesce(*options, b))
+        over = b.isin(big)  # whoever is oversized here was so at every level before
+        options.append(F.when(~over, b))
+        live = reps.where(over)
+    return reps.withColumn("bucket", F.coalesce(*options, F.md5("canon").cast("binary")))
 
 
 def _count_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
