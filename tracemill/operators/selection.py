@@ -84,10 +84,12 @@ def pair_category(chosen_type: Column, rejected_type: Column) -> Column:
 
 def stage_caps(rows: DataFrame, caps: dict[str, int], order: Sequence[str], stage: str = "stage") -> DataFrame:
     """The first rows of each capped stage in the given order; other stages whole and without a window."""
+    if not caps:
+        return rows
     capped = rows.where(F.col(stage).isin(*caps))
     limit = F.create_map(*[F.lit(x) for kv in caps.items() for x in kv])[F.col(stage)]
     w = Window.partitionBy(stage).orderBy(*order)
-    most = max(caps.values(), default=0)
+    most = max(caps.values())
     first = capped.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).where(F.col("_n") <= limit).drop("_n")
     return rows.where(~F.coalesce(F.col(stage).isin(*caps), F.lit(False))).unionByName(first)
 
