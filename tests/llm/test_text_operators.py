@@ -112,7 +112,7 @@ def test_leaks(spark):
         (2, "x <b>" + changed.replace("quay", "**quay**").replace("than", "</i>than") + "</b>"),
         (3, NOTE * 3),
         (4, "They know Nustel Guvugusten less for The Tazograbos Garden"),
-        (5, "Children of Elsewhere know Somebody Different less for The Other Garden than for the 12 lamps along the quay of Third Bay."),
+        (5, "Children of Elsewhere know Somebody Different for less, and the 12 lamps along the quay of Third Bay."),
         (6, None),
         (7, ""),
         (8, "word " * 60_000 + ITEM),

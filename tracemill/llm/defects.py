@@ -210,8 +210,7 @@ def defects(rollouts: DataFrame, max_train: int = truncation.MAX_TRAIN) -> DataF
                 for (i, _, _, at_limit), score in zip(unsure, scores):
                     if score > (0.2 if at_limit else 0.5):
                         kinds[i] = "truncated"
-            keep = [i for i, k in enumerate(kinds) if k]
-            yield pd.DataFrame({"rollout_id": [ids[i] for i in keep], "defect": [kinds[i] for i in keep]})
+            yield pd.DataFrame([(i, k) for i, k in zip(ids, kinds) if k], columns=["rollout_id", "defect"])
 
     return wide.where("rollout_id is not null").mapInPandas(judge, "rollout_id long, defect string")
 

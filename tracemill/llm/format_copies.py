@@ -78,16 +78,15 @@ def _fold_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     bytes, copies and the smallest id only on the representatives, which come after the task's records."""
     reps: dict[bytes, list[int]] = {}
     for pdf in batches:
-        ids, rep = [], []
+        members = []
         for i, title, text, record in zip(pdf["id"], pdf["title"], pdf["text"], pdf["record"]):
             if (key := canonical_bytes(_null(title), _null(text), _null(record))) is None:
                 continue
             mine = reps.setdefault(key, [i, 0, i])
             mine[1] += 1
             mine[2] = min(mine[2], i)
-            ids.append(i)
-            rep.append(mine[0])
-        yield pd.DataFrame({"id": ids, "rep": rep, "canon": None, "copies": 0, "low": 0})
+            members.append((i, mine[0], None, 0, 0))
+        yield pd.DataFrame(members, columns=["id", "rep", "canon", "copies", "low"])
     rows = [(r, r, key, n, low) for key, (r, n, low) in reps.items()]
     for k in range(0, len(rows), 20_000):
         yield pd.DataFrame(rows[k : k + 20_000], columns=["id", "rep", "canon", "copies", "low"])

@@ -158,6 +158,11 @@ def is_hollow(value: str) -> bool:
     return bool(_HOLLOW.match(value)) and not value.rstrip().endswith(("<", "</"))
 
 
+def is_open_tagged(value: str) -> bool:
+    """Tagged from its start, but without a closing tag at its end: such a value never counts as intact."""
+    return bool(re.match(r"\s*<\w+>", value)) and not re.search(r"</\w+>\s*$", value)
+
+
 class HashedLogit:
     """Logistic regression on hashed binary features, fitted with AdaGrad in a fixed order."""
 
@@ -194,7 +199,15 @@ def looks_intact(value: str, limit: int | None) -> bool:
     labels = _LABEL.findall(value)
     if len(labels) > 1 and labels[-1] != "Answer":
         return False
-    return bool(_CLOSED.search(value)) or len(_PLAIN.findall(value.rpartition(":")[2])) <= 4
+    if _CLOSED.search(value) or len(_PLAIN.findall(value.rpartition(":")[2])) <= 4:
+        return True
+    last = _PLAIN.findall(re.split(r"[.!?。]\s+", value)[-1])  # a name after a sentence is a whole answer
+    return len(last) <= 4 and all(w[0].isupper() or w[0].isdigit() for w in last)
+
+
+def goes_on_elsewhere(value: str, longer: str | None) -> bool:
+    """The same text is open-ended or longer in its other place."""
+    return longer == "\0" or (longer is not None and len(longer) > len(value.rstrip()) and longer.startswith(value.rstrip()))
 
 
 def cut(value: str, rng: random.Random) -> str:
@@ -228,7 +241,7 @@ class CutModel:
     def fit(self, rows: list[tuple[str | None, str, tuple, str | None]], seed: int = 7) -> CutModel:
         """rows: source, value, texts of its context, the same text elsewhere (or None)."""
         rng = random.Random(seed)
-        intact = [r for r in rows if looks_intact(r[1], self.limits.get(r[0]))]
+        intact = [r for r in rows if looks_intact(r[1], self.limits.get(r[0])) and not goes_on_elsewhere(r[1], r[3])]
         often = Counter(w.lower() for _, v, _, _ in intact for w in set(_PLAIN.findall(v)))
         self.known = {w for w, n in often.items() if n >= 3}
         limits = sorted(set(self.limits.values()))
@@ -261,18 +274,20 @@ class CutModel:
 
     def scores(self, rows: list[tuple[str | None, str, tuple, str | None]]) -> np.ndarray:
         found = self.model.score([hashed(tail_features(v, Context(*texts), self.known, self.limits.get(s), longer)) for s, v, texts, longer in rows])
+        found = np.where([is_open_tagged(v) for _, v, _, _ in rows], 1.0, found)
         return np.where([is_hollow(v) for _, v, _, _ in rows], 0.0, found)
 
 
 def source_limits(values: DataFrame, share: float = 0.3) -> dict[str | None, int]:
     """(source, value) -> the length limit of each source that has one: its greatest length, if more than
-    ``share`` of the values of nearly that length (the last tenth, none of fewer than 5) have just that one,
-    or one less. Counted over all values; the driver gets one row a source."""
-    lengths = values.where("value is not null").groupBy("source", F.length("value").alias("n")).count()
+    ``share`` of the values of nearly that length (the last tenth), and at least 5, have just that one and don't
+    end like a complete text. Counted over all values; the driver gets one row a source."""
+    open_end = F.count_if(~F.regexp_like("value", F.lit(r"[.!?。”\"»>)]\s*$"))).alias("open")
+    lengths = values.where("value is not null").groupBy("source", F.length("value").alias("n")).agg(F.count("*").alias("count"), open_end)
     top = lengths.groupBy("source").agg(F.max("n").alias("top"))
     on = F.col("b.source").eqNullSafe(F.col("top.source"))
     near = lengths.alias("b").join(top.alias("top"), on).where("n > top * 0.9").groupBy(F.col("top.source").alias("source"), "top")
-    rows = near.agg(F.sum("count").alias("all"), F.sum(F.when(F.col("n") == F.col("top"), F.col("count")).otherwise(0)).alias("at"))
+    rows = near.agg(F.sum("count").alias("all"), F.sum(F.when(F.col("n") == F.col("top"), F.col("open")).otherwise(0)).alias("at"))
     return {r["source"]: int(r["top"]) for r in rows.where((F.col("at") >= 5) & (F.col("at") > share * F.col("all"))).collect()}
 
 
