@@ -75,3 +75,43 @@ def synthesize_until(spark: SparkSession, target: int, topics: Sequence[str], ma
         done += n
         parts.append(part)
     return parts, valid, done
+
+
+def probe(requests: DataFrame, generator: Generator, samples: int = 4, batch_size: int = 64) -> DataFrame:
+    """``requests`` (request_index, stage, prompt, ground_truth) sampled ``samples`` times and scored.
+
+    Adds sample_index, generated and score: the soft reward of the extracted answer or a flat 1 for a valid
+    search, 0.1 for the format, minus 0.03 for a search.
+    """
+    from tracemill.functions import actions, text
+
+    if samples < 1:
+        raise ValueError("samples must be at least 1")
+    many = requests.withColumn("sample_index", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    made = generate(many, generator, batch_size=batch_size).withColumn("_a", actions.extract_answer(F.col("generated"))).withColumn("_s", actions.parse_agent_action(F.col("generated")))
+    soft = text.soft_answer_reward(text.answer_scores(text.text("_a"), F.col("ground_truth")))["answer_reward"]
+    answered = F.when(F.col("_a").isNotNull(), soft + 0.1).otherwise(0.0)
+    searched = F.when(F.col("_s.type") == "search", 1.1).otherwise(0.0) - 0.03
+    return made.withColumn("score", F.round(F.when(F.col("stage") == "search", searched).otherwise(answered), 6)).drop("_a", "_s")
+
+
+def environment_rollouts(rows: DataFrame, pool: DataFrame, search: Generator, answer: Generator, top_k: int = 2) -> DataFrame:
+    """Two generated turns over each row's own pool of passages.
+
+    ``rows``: id, question, gold (ids), answer; ``pool``: id, pos, doc_id, title, text. The first generator gets
+    the question; a valid search ranks the pool, whose best passages are the observation that the second
+    generator gets after the question. Returns the turns, their actions, the observed ids and final_answer.
+    """
+    from tracemill.functions import actions, text
+    from tracemill.operators import lexical
+
+    first = generate(rows.withColumn("prompt", text.text("question")), search).withColumnRenamed("generated", "search_generated").drop("prompt")
+    first = first.withColumn("search_action", actions.parse_agent_action(F.col("search_generated")))
+    asked = first.where("search_action.type = 'search'").select("id", F.lit(0).alias("q"), F.col("search_action.query").alias("query"))
+    hits = lexical.rank(asked, pool, top_k, "q", F.col("query"), "pos", lexical.passage_text(F.col("title"), F.col("text")), ["id"])
+    seen = hits.join(pool, ["id", "pos"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "title", "text"))).alias("o"))
+    met = first.join(seen, "id", "left").withColumn("observation", actions.observation_text(F.transform("o", lambda p: F.struct(p["title"].alias("title"), p["text"].alias("text")))))
+    met = met.withColumn("observation_doc_ids", F.coalesce(F.transform("o", lambda p: p["doc_id"]), F.array().cast("array<string>"))).drop("o")
+    second = generate(met.withColumn("prompt", F.concat_ws("\n", text.text("question"), "observation")), answer).withColumnRenamed("generated", "answer_generated").drop("prompt")
+    second = second.withColumn("answer_action", actions.parse_agent_action(F.col("answer_generated")))
+    return second.withColumn("final_answer", F.coalesce("answer_action.answer", F.lit("")))

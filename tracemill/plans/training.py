@@ -11,7 +11,7 @@ from tracemill.functions import actions, text
 from tracemill.operators import exports, selection
 from tracemill.plans import sqltext as q
 from tracemill.plans.retrieval import _EPISODES, _FIRST_QA, _examples, rule_episodes
-from tracemill.session import table
+from tracemill.session import dense_positions, table
 
 MIN_RANGE, MIN_GAP, PER_GROUP = 100.0, 50.0, 2
 
@@ -189,6 +189,12 @@ def resume_by_id(spark: SparkSession, d: str) -> DataFrame:
     return edges.pending(edges.tasks(spark, 500, ["river locks", "glass lenses", "salt trade"]), done)
 
 
+def position_slice(spark: SparkSession, d: str) -> DataFrame:
+    """Rows 10 to 29 by position, of the rollouts that have a search (the filter comes before the slice)."""
+    rows = table(spark, d, "rollouts_for_grpo").where("contains(response, '<search>')").select("rollout_id")
+    return dense_positions(rows, "rollout_id").where("pos >= 10 and pos < 30")
+
+
 def task_generation(spark: SparkSession, d: str) -> DataFrame:
     from tracemill.operators import edges
 
@@ -196,7 +202,7 @@ def task_generation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [sft_rows, grpo_rollouts, sft_warmup, sft_turns, sft_turn_rates, gold_evidence_join, sft_stage_prompts, trainer_rows, rollout_trainer_rows, transition_trainer_rows, probe_requests, train_val_prefix, reward_variance_groups, variance_selected_sources, variance_filter, unmatched_sources, group_score_variance, best_candidates, preference_pairs, pair_category_counts, stage_caps, train_val_split, filtered_pairs, resume_by_id, task_generation]
+    own = [sft_rows, grpo_rollouts, sft_warmup, sft_turns, sft_turn_rates, gold_evidence_join, sft_stage_prompts, trainer_rows, rollout_trainer_rows, transition_trainer_rows, probe_requests, train_val_prefix, reward_variance_groups, variance_selected_sources, variance_filter, unmatched_sources, group_score_variance, best_candidates, preference_pairs, pair_category_counts, stage_caps, train_val_split, filtered_pairs, resume_by_id, position_slice, task_generation]
     return {f.__name__: f for f in own}
 
 
@@ -264,6 +270,7 @@ def oracle_sql() -> dict[str, str]:
             r AS (SELECT pair_id, row_number() OVER (ORDER BY md5('3:' || pair_id), pair_id) AS i FROM p) SELECT pair_id, i <= n_val AS is_val FROM r, n""",
         "filtered_pairs": f"SELECT pair_id, pair_category FROM {_PAIRS} WHERE pair_category IN ('search_vs_search', 'answer_vs_invalid')",
         "resume_by_id": "SELECT id, topic FROM (SELECT 'syn-' || lpad(CAST(i AS VARCHAR), 6, '0') AS id, ['river locks', 'glass lenses', 'salt trade'][i % 3 + 1] AS topic FROM range(500) t(i)) WHERE id NOT IN (SELECT 'syn-' || lpad(CAST(event_id AS VARCHAR), CAST(greatest(6, length(CAST(event_id AS VARCHAR))) AS INTEGER), '0') FROM events WHERE event_id % 3 = 0)",
+        "position_slice": "SELECT rollout_id, pos FROM (SELECT rollout_id, row_number() OVER (ORDER BY rollout_id) - 1 AS pos FROM rollouts_for_grpo WHERE contains(response, '<search>')) WHERE pos >= 10 AND pos < 30",
         "task_generation": f"""SELECT id, 'Which archive stores the institute associated with ' || {slug('topic')} || ' Researcher?' AS question, {slug('topic')} || ' Archive' AS answer, topic
             FROM (SELECT 'syn-' || lpad(CAST(i + 7 AS VARCHAR), 6, '0') AS id, ['river locks', 'glass-lenses', 'salt trade'][i % 3 + 1] AS topic FROM range(50) t(i))""",
     }
