@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracemill.session import cut_lineage
+
 #: A node: path from the record, path of the parent, field name (or null in arrays), place among its
 #: siblings from 0, object / array / scalar / null, and the text of a scalar.
 NODE = "struct<node:string,parent:string,label:string,ordinal:int,kind:string,scalar:string>"
@@ -139,48 +141,45 @@ def context_entities(adjacency: DataFrame) -> tuple[DataFrame, DataFrame]:
     a mapping title -> sentences; sentences may be plain text, which is one sentence. A supporting fact is a
     pair [title, index] or an object with title and sent_id or sent_idx; an index may be missing (0) or text.
     """
-    node = F.col("node")
-    # the owner is the entry or fact itself; a mapping's titles may hold dots and brackets, so its entries are
-    # told by their parent and ordinal
+    node, inside = F.col("node"), F.col("parent") == F.col("owner")
     direct = F.col("parent").isin("$.context", "$.supporting_facts")
-    nested = adjacency.where(node.startswith("$.context") | node.startswith("$.supporting_facts"))
-    owned = nested.withColumn("owner", F.when(direct, node).when(F.regexp_like("node", F.lit(r"^\$\.(?:context|supporting_facts)\[\d+\][.\[]")), F.regexp_extract("node", r"^(\$\.(?:context|supporting_facts)\[\d+\])", 1)))
-    lists = owned.where("owner is not null")
-    inner = F.col("parent") == F.col("owner")
-    head = inner & ((F.col("label") == "title") | (F.col("label").isNull() & (F.col("ordinal") == 0)))
-    deep = F.col("node").startswith(F.col("owner")) & ~inner & ~direct
-    sentence_array = deep & F.regexp_like(F.substring(F.col("node"), F.length("owner") + 1, F.lit(1_000_000)), F.lit(r"^(?:\.sentences|\.text|\[1\])\[\d+\]$"))
-    plain = inner & (F.col("kind") == "scalar") & (F.col("label").isin("sentences", "text") | (F.col("label").isNull() & (F.col("ordinal") == 1)))
-    sentences = entities(
-        lists,
-        F.col("owner").startswith("$.context["),
-        {
-            "child_no": F.max(F.when(direct, F.col("ordinal"))),
-            "name": F.max(F.when(head & (F.col("kind") == "scalar"), F.col("scalar"))),
-            "listed": F.sum(F.when(sentence_array, 1).otherwise(0)),
-            "plain": F.sum(F.when(plain, 1).otherwise(0)),
-        },
-        ["tab"],
-    ).select("tab", "record", "child_no", "name", F.greatest("listed", "plain").cast("int").alias("parts"))
-    facts = entities(
-        lists,
-        F.col("owner").startswith("$.supporting_facts["),
+    listed_entry = r"^(\$\.(?:context|supporting_facts)\[\d+\])"
+    # the owner is the entry or fact itself; titles of a mapping may hold dots and brackets, so what belongs to
+    # its entries is told by the parent
+    owner = F.when(direct, node).when(F.regexp_like("node", F.lit(listed_entry + r"[.\[]")), F.regexp_extract("node", listed_entry, 1)).otherwise(F.col("parent"))
+    nested = adjacency.where(node.startswith("$.context") | node.startswith("$.supporting_facts")).where("node not in ('$.context', '$.supporting_facts')").withColumn("owner", owner)
+    scalar, bare = F.col("kind") == "scalar", F.col("label").isNull()
+    tail = F.substring(node, F.length("owner") + 1, F.lit(1_000_000))
+    in_list = ~inside & ~direct & F.regexp_like(tail, F.lit(r"^(?:\.sentences|\.text|\[1\])\[\d+\]$"))
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    text_of = lambda c: F.max(F.when(c, F.col("scalar")))
+    made = entities(
+        nested,
+        F.lit(True),
         {
-            "ref_no": F.max(F.when(direct, F.col("ordinal"))),
-            "name": F.max(F.when(head & (F.col("kind") == "scalar"), F.col("scalar"))),
-            "first": F.max(F.when(inner & (F.col("label") == "sent_id"), F.col("scalar"))),
-            "second": F.max(F.when(inner & (F.col("label") == "sent_idx"), F.col("scalar"))),
-            "third": F.max(F.when(inner & F.col("label").isNull() & (F.col("ordinal") == 1), F.col("scalar"))),
+            "ordinal": F.max(F.when(direct, F.col("ordinal"))),
+            "field": F.max(F.when(direct, F.col("label"))),
+            "kind": F.max(F.when(direct, F.col("kind"))),
+            "title": text_of(inside & scalar & ((F.col("label") == "title") | (bare & (F.col("ordinal") == 0)))),
+            "in_list": one(in_list),
+            "plain": one(inside & scalar & (F.col("label").isin("sentences", "text") | (bare & (F.col("ordinal") == 1)))),
+            "elements": one(inside & scalar & bare),
+            "first": text_of(inside & (F.col("label") == "sent_id")),
+            "second": text_of(inside & (F.col("label") == "sent_idx")),
+            "third": text_of(inside & bare & (F.col("ordinal") == 1)),
         },
         ["tab"],
     )
+    made = cut_lineage(made)  # a row an entry or fact, used for both sides of the join: the text is walked once
+    is_fact = F.col("owner").startswith("$.supporting_facts[")
     index = F.coalesce("first", "second", "third")
-    whole = F.coalesce(F.when(index.isNull(), F.lit(0)), F.expr("try_cast(trim(coalesce(first, second, third)) as int)"))
-    facts = facts.select("tab", "record", "ref_no", "name", whole.alias("sub_no"))
-    mapped = nested.where("parent = '$.context' and label is not null").select("tab", "record", F.col("ordinal").alias("child_no"), F.col("label").alias("name"), "node", "kind")
-    counts = nested.where(~direct & (F.col("kind") == "scalar") & F.col("label").isNull()).groupBy("tab", "record", F.col("parent").alias("node")).agg(F.count("*").cast("int").alias("n"))
-    mapped = mapped.join(counts, ["tab", "record", "node"], "left").select("tab", "record", "child_no", "name", F.when(F.col("kind") == "scalar", 1).otherwise(F.coalesce("n", F.lit(0))).alias("parts"))
-    return facts, sentences.where("name is not null").unionByName(mapped)
+    number = F.when(index.isNull(), 0).otherwise(F.expr("try_cast(trim(coalesce(first, second, third)) as int)"))
+    facts = made.where(is_fact).select("tab", "record", F.col("ordinal").alias("ref_no"), F.col("title").alias("name"), number.alias("sub_no"))
+    listed = F.greatest("in_list", "plain")
+    mapped = F.when(F.col("kind") == "scalar", 1).otherwise(F.col("elements"))
+    parts = F.when(F.col("field").isNull(), listed).otherwise(mapped).cast("int")
+    contexts = made.where(~is_fact & F.col("ordinal").isNotNull()).select("tab", "record", F.col("ordinal").alias("child_no"), F.coalesce("field", "title").alias("name"), parts.alias("parts"))
+    return facts, contexts.where("name is not null")
 
 
 def resolved_references(qa: DataFrame, rollouts: DataFrame, raw: DataFrame) -> DataFrame:
