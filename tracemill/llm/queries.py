@@ -74,5 +74,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_kept": p2_kept, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found, "p6_rates": p6_rates, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found}
 
 
+_CANON = "regexp_replace(nfc_normalize(lower(coalesce({}, ''))), '[^\\p{{L}}\\p{{N}}\\p{{M}}]', '', 'g')".format
+_COPIES = f"""(SELECT passage_id, min(passage_id) OVER w AS keep, count(*) OVER w AS copies FROM (
+    SELECT passage_id, {_CANON("title")} AS t, {_CANON("body")} AS b FROM (
+        SELECT passage_id, CASE WHEN raw THEN json_extract_string(j, '$.title') ELSE title END AS title, CASE WHEN raw THEN json_extract_string(j, '$.text') ELSE text END AS body
+        FROM (SELECT *, title IS NULL AND text IS NULL AND record IS NOT NULL AS raw, TRY_CAST(record AS JSON) AS j FROM passages)))
+    WHERE b <> '' WINDOW w AS (PARTITION BY t, b))"""
+_KEYS = "(SELECT DISTINCT lower(trim(source_id)) AS s, lower(trim(question_id)) AS q FROM transitions WHERE trim(source_id) <> '' AND trim(question_id) <> '')"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p2_found": f"SELECT DISTINCT keep AS keep_id, passage_id AS copy_id FROM {_COPIES} WHERE passage_id <> keep",
+        "p2_kept": f"SELECT DISTINCT keep AS keep_id, copies FROM {_COPIES}",
+        "p3_found": f"""WITH RECURSIVE e AS {_KEYS}, r(s, t) AS (SELECT s, s FROM e UNION SELECT r.s, b.s FROM r JOIN e a ON r.t = a.s JOIN e b ON a.q = b.q)
+            SELECT first_source, s AS other_source FROM (SELECT s, min(t) AS first_source FROM r GROUP BY s) WHERE s <> first_source""",
+    }
