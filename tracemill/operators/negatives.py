@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import text
 from tracemill.operators import lexical
+from tracemill.session import cut_lineage
 
 # Corruptions in the order in which they are tried, and the query that fits anything (fixed values).
 KINDS = ("generic", "distractor_title", "gold_title_only", "gold_title_only", "answer_only", "entity_dropout", "relation_dropout", "question_keywords")
@@ -49,10 +50,14 @@ def negative_queries(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("query", text.squeeze(text.text("query"))).withColumn("answer", text.strip(text.text("answer"))).withColumn("titles", titles).withColumn("other", F.coalesce(other, F.lit("")))
     nth = lambda i: F.coalesce(F.try_element_at("titles", F.lit(i)), F.lit(""))
     made = [F.lit(GENERIC), F.col("other"), nth(1), nth(2), F.col("answer"), drop_phrase(F.col("query"), F.concat("titles", F.array("answer"))), entity_like(F.col("query")), question_keywords(text.text("question"))]
-    tried = F.array(*[F.struct(F.lit(i + 1).alias("i"), F.lit(k).alias("corruption_type"), text.squeeze(m).alias("query")) for i, (k, m) in enumerate(zip(KINDS, made))])
-    # first wins: a try is kept if no earlier one, nor the chosen query, reads the same
-    fresh = F.filter(tried, lambda t: (text.plain(t["query"]) != "") & (text.plain(t["query"]) != text.plain(F.col("query"))))
-    first = F.filter(fresh, lambda t: ~F.exists(fresh, lambda u: (u["i"] < t["i"]) & (text.plain(u["query"]) == text.plain(t["query"]))))
+    tried = F.array(*[F.struct(F.lit(i + 1).alias("i"), F.lit(k).alias("corruption_type"), m.alias("query")) for i, (k, m) in enumerate(zip(KINDS, made))])
+    # each text is made and compared in one form only, as columns of their own: lambdas would redo them
+    rows = rows.withColumn("_tried", tried).withColumn("_plain", text.plain(F.col("query")))
+    rows = rows.withColumn("_fresh", F.transform("_tried", lambda t: F.struct(t["i"].alias("i"), t["corruption_type"].alias("corruption_type"), text.squeeze(t["query"]).alias("query"), text.plain(t["query"]).alias("p"))))
+    rows = rows.withColumn("_fresh", F.filter("_fresh", lambda t: (t["p"] != "") & (t["p"] != F.col("_plain"))))
+    # first wins: a try is kept if no earlier one reads the same
+    first = F.filter("_fresh", lambda t: ~F.exists("_fresh", lambda u: (u["i"] < t["i"]) & (u["p"] == t["p"])))
+    first = F.transform(first, lambda t: F.struct(t["i"].alias("i"), t["corruption_type"].alias("corruption_type"), t["query"].alias("query")))
     chosen = F.array(F.struct(F.lit(0).alias("i"), F.lit("chosen").alias("corruption_type"), F.col("query").alias("query")))
     out = rows.where("query != ''").select("id", F.posexplode(F.concat(chosen, first)).alias("candidate_index", "c"))
     return out.select("id", "candidate_index", "c.corruption_type", "c.query")
@@ -61,7 +66,7 @@ def negative_queries(rows: DataFrame) -> DataFrame:
 def scored_candidates(rows: DataFrame, top_k: int = 8) -> DataFrame:
     """Candidates with their search-stage score: mean rank reward of the different gold ids among the row's
     own passages, 0.1 for a valid action, minus 0.03. Rows without passages or gold ids score a flat 1."""
-    candidates = negative_queries(rows)
+    candidates = cut_lineage(negative_queries(rows))  # used to ask and to keep those that found nothing
     pool = rows.select("id", F.posexplode("passages").alias("pos", "p")).where("p.doc_id is not null").select("id", "pos", F.col("p.doc_id").alias("doc_id"), lexical.passage_text(F.col("p.title"), F.col("p.text")).alias("body"))
     hits = lexical.rank(candidates, pool, top_k, "candidate_index", F.col("query"), "pos", F.col("body"), ["id"]).join(pool.select("id", "pos", "doc_id"), ["id", "pos"])
     gold = rows.select("id", F.explode(F.array_distinct("gold")).alias("doc_id")).where("doc_id is not null")
@@ -78,7 +83,7 @@ def scored_candidates(rows: DataFrame, top_k: int = 8) -> DataFrame:
 def negative_pairs(rows: DataFrame, min_chosen: float = 0.5, min_gap: float = 0.05, per_row: int = 4, top_k: int = 8) -> DataFrame:
     """(id, candidate_index, corruption_type, rejected_query, chosen_score, rejected_score, score_gap): up to
     ``per_row`` negatives of each row whose chosen query scores enough."""
-    scored = scored_candidates(rows, top_k)
+    scored = cut_lineage(scored_candidates(rows, top_k))
     chosen = scored.where("candidate_index = 0 and score >= %r" % min_chosen).select("id", F.col("score").alias("chosen_score"))
     met = scored.where("candidate_index > 0").join(chosen, "id").withColumn("score_gap", F.round(F.col("chosen_score") - F.col("score"), 6)).where(F.col("score_gap") >= min_gap)
     w = Window.partitionBy("id").orderBy(F.desc("score_gap"), "score", "corruption_type", "candidate_index")
