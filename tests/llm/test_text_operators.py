@@ -130,6 +130,21 @@ def test_leaks(spark):
     assert leakage.leaked_passages(df, items.limit(0)).collect() == []
 
 
+def test_a_dozen_verbatim_words_are_a_leak_without_rare_words(spark):
+    """Pattern words of many items and numbers, in an order that stands in one item only."""
+    pattern = "the {} had stood unfinished for {} weeks and an inventory from {} lists the {} among other things"
+    names = ["tower", "river", "clock", "garden"]
+    items = spark.createDataFrame([(10 * i + j, pattern.format(a, 700 + 10 * i + j, 1800 + 10 * i + j, b)) for i, a in enumerate(names) for j, b in enumerate(names)], "item_id long, text string")
+    docs = [
+        (1, "> Tower had stood unfinished for 702 weeks and\n> an <b>inventory</b> from 1802 lists"),
+        (2, "tower had stood unfinished for 702 weeks and an inventory"),  # ten words
+        (3, "tower had stood unfinished for 999 weeks and an inventory from 1666 lists the"),  # numbers of no item
+        (4, "tower had stood unfinished for 702 weeks and an inventory from 1802 lists the"),
+    ]
+    rows = leakage.leaked_passages(spark.createDataFrame(docs, "doc_id long, text string"), items)
+    assert [tuple(r) for r in rows.select("doc_id", "item_id").collect()] == [(1, 2), (4, 2)]
+
+
 # -- reading level ----------------------------------------------------------------------------------------------
 
 EASY = ["The cat is big.", "We see the red bell.", "Look at the map!", "It is on the hat.", "Tom has a dog."]

@@ -63,9 +63,10 @@ class Items:
         if pieces:
             self.automaton.make_automaton()
 
-    def _run(self, item: int, ws: list[str], k: int, p: int) -> tuple[int, int, int, int, int]:
+    def _run(self, item: int, ws: list[str], k: int, p: int) -> tuple[int, int, int, int, int, int]:
         """The run through doc word k and item word p: first and last doc word, words equal outside of
-        instructions, own words equal, changed words. A changed word stands alone between equal ones."""
+        instructions, own words equal, changed words, longest stretch of equal words outside of instructions.
+        A changed word stands alone between equal ones."""
         iw, kind = self.words[item], self.kind[item]
         ends = []
         same = own = changed = 0
@@ -83,10 +84,16 @@ class Items:
                     break
                 a, b = a + step, b + step
             ends.append(last)
-        return ends[0], ends[1], same, own, changed
-
-    def leaks(self, text: str) -> list[tuple[int, int, int, int, int, int]]:
-        """(item, start, end, words equal, own words equal, changed words) of the best run of each item."""
+        exact = stretch = 0
+        for a in range(ends[0], ends[1] + 1):
+            b = a - k + p
+            stretch = stretch + 1 if ws[a] == iw[b] and kind[b] else 0
+            exact = max(exact, stretch)
+        return ends[0], ends[1], same, own, changed, exact
+
+    def leaks(self, text: str) -> list[tuple[int, int, int, int, int, int, int]]:
+        """(item, start, end, words equal, own words equal, changed words, longest equal stretch) of the best
+        run of each item."""
         found = words(text)
         ws = [w for w, _, _ in found]
         if self.empty or len(ws) < PIECE:
@@ -109,22 +116,26 @@ class Items:
                 for k, p in places:
                     if k <= done:
                         continue
-                    first, done, same, own, changed = self._run(item, ws, k, p)
+                    first, done, same, own, changed, exact = self._run(item, ws, k, p)
                     if best is None or same > best[3]:
-                        best = (item, found[first][1], found[done][2], same, own, changed)
+                        best = (item, found[first][1], found[done][2], same, own, changed, exact)
             out.append(best)
         return out
 
 
-def is_leak(same: int, own: int, changed: int) -> bool:
-    return same + changed >= RUN_WORDS and own >= 2 and changed <= CHANGED * (same + changed)
+def is_leak(same: int, own: int, changed: int, exact: int) -> bool:
+    """A dozen equal words in a row outside of instructions are a leak whatever the words; with changed words
+    between, two own words must tell the passage from another text of the same pattern."""
+    return exact >= RUN_WORDS or same + changed >= RUN_WORDS and own >= 2 and changed <= CHANGED * (same + changed)
 
 
 def leaked_passages(documents: DataFrame, items: DataFrame, max_items_mb: int = 64) -> DataFrame:
     """(doc_id, item_id, start_char, end_char, words): every document that holds a passage of an item.
 
     A passage has at least RUN_WORDS words in a row of the item's own text, apart from case, punctuation,
-    spacing, markup and single changed words. Instructions that stand in many items are no own text.
+    spacing, markup and single changed words. A passage in which every dozen words hold a changed one counts
+    only with two words that stand in at most OWN_ITEMS items and are no numbers, since items of one pattern
+    differ in such words. Instructions that stand in many items are no own text.
     Null ids and null or empty texts and items match nothing; items with equal text are all reported; a repeated
     document row is reported once for each row. ``items`` goes to every task as one automaton, so its
     texts must stay below ``max_items_mb`` (checked); larger sets are to be scanned in several calls.
@@ -142,8 +153,8 @@ def leaked_passages(documents: DataFrame, items: DataFrame, max_items_mb: int =
                 (doc, item, start, end, same)
                 for doc, text in zip(pdf["doc_id"], pdf["text"])
                 if isinstance(text, str)
-                for item, start, end, same, own, changed in known.leaks(text)
-                if is_leak(same, own, changed)
+                for item, start, end, same, own, changed, exact in known.leaks(text)
+                if is_leak(same, own, changed, exact)
             ]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "start_char", "end_char", "words"])
 
