@@ -64,6 +64,21 @@ def test_overlaps_of_an_empty_table_and_long_questions(spark):
     assert [tuple(r) for r in got] == [("a", "b")]
 
 
+def test_overlaps_of_rare_ordinary_words_in_large_input(spark):
+    """From 20 000 questions on, a word of one question isn't common."""
+    rows = [
+        ("t1", "Which zymurgy did Tidrikiwi study quixotically in 1790?", "train", "a"),
+        ("e1", "WHICH ZYMURGY DID TIDRIKIWI STUDY QUIXOTICALLY IN 1790?", "test", "b"),
+        ("e2", "which zymurgi did tidrikiwi study quixotcally in 1790?", "test", "b"),
+        ("e3", "WHICH ZYMURGY DID TIDRIKAWO STUDY QUIXOTICALLY IN 1790?", "test", "b"),
+        ("t2", "Who met Zymurgist in 1791?", "train", "a"),
+        ("t3", "Where did Tidrikawo live?", "train", "a"),
+    ]
+    filler = [(f"f{i}", f"What is {i} and 7?", "train", "c") for i in range(10_000, 30_000)]
+    got = {tuple(r) for r in split_overlap.overlap_pairs(examples(spark, rows + filler)).collect()}
+    assert got == {("e1", "t1"), ("e2", "t1")}
+
+
 # -- tokenizer --------------------------------------------------------------------------------------------------
 
 
