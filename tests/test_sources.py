@@ -113,6 +113,28 @@ def test_shredded_columns_and_entities(spark):
     assert {(r["ordinal"], r["doc_id"], r["title"]) for r in shred.parent_child(nodes, "corpus", ["doc_id", "title"]).collect()} == {(0, "d", "T"), (1, "e", None)}
 
 
+def test_objects_and_values_at_any_depth(spark):
+    doc = {"turns": [{"calls": [{"name": "a", "tags": ["x", None]}, None, {"name": "b"}]}, {"calls": [{"name": "c"}]}], "meta": {"name": "m"}}
+    nodes = shred.shred_json(spark.createDataFrame([(1, json.dumps(doc))], "k int, t string"), "k", "t")
+    calls = {tuple(r)[1:] for r in shred.parent_child(nodes, "turns[].calls", ["name"]).collect()}
+    assert calls == {("$.turns[0].calls", 0, "a"), ("$.turns[0].calls", 2, "b"), ("$.turns[1].calls", 0, "c")}
+    assert [tuple(r) for r in shred.parent_child(nodes, "meta", ["name"]).collect()] == [("1", "$", 1, "m")]
+    assert {tuple(r)[1:] for r in shred.child_values(nodes, "turns[].calls[].tags").collect()} == {("$.turns[0].calls[0].tags", 0, "x"), ("$.turns[0].calls[0].tags", 1, None)}
+
+
+def test_context_entries_in_every_form(spark):
+    contexts = [
+        [["T", ["a", "b"]], ["U", "c"], {"title": "V", "sentences": ["d"], "url_slug": "v"}, {"title": "W", "text": "e"}, {"title": "X", "text": "all", "sentences": ["f", "g"]}, ["Y", []]],
+        {"A. [0]": ["h", None, "i"], "B": "j"},
+    ]
+    rows = spark.createDataFrame([(i, json.dumps({"context": c, "supporting_facts": [["A", 0]]})) for i, c in enumerate(contexts)] + [(9, "{")], "k int, t string")
+    got = {(r["record"], r["child_no"], r["title"], r["url_slug"], tuple(tuple(s) for s in r["sentences"])) for r in shred.context_entries(shred.shred_json(rows, "k", "t")).collect()}
+    assert got == {
+        ("0", 0, "T", None, ((0, "a"), (1, "b"))), ("0", 1, "U", None, ((0, "c"),)), ("0", 2, "V", "v", ((0, "d"),)), ("0", 3, "W", None, ((0, "e"),)),
+        ("0", 4, "X", None, ((0, "f"), (1, "g"))), ("0", 5, "Y", None, ()), ("1", 0, "A. [0]", None, ((0, "h"), (1, None), (2, "i"))), ("1", 1, "B", None, ((0, "j"),)),
+    }
+
+
 def drifting(spark):
     def file(feed, name, day, records):
         return [(feed, name, f"2030-01-{day:02d} 00:00:00", r if isinstance(r, str) or r is None else json.dumps(r), "x") for r in records]

@@ -9,6 +9,7 @@ pivoted into entity tables, which keep the link to their parent.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
@@ -109,13 +110,30 @@ def entities(adjacency: DataFrame, members: Column, scalars: dict[str, Column],
     return adjacency.where(members).groupBy(*group, "record", "owner").agg(*[c.alias(n) for n, c in scalars.items()])
 
 
+def _at(field: str, inner: str) -> Column:
+    """Pattern of the nodes at the path ``$.field``, where ``[]`` stands for any place in an array."""
+    return F.lit("^" + re.escape(f"$.{field}").replace(r"\[\]", r"\[\d+\]") + inner + "$")
+
+
 def parent_child(adjacency: DataFrame, field: str, columns: Sequence[str]) -> DataFrame:
-    """(record, parent, ordinal, *columns): the entity table of the objects in the array ``$.field``."""
-    start = F.lit(f"$.{field}")
-    own = adjacency.withColumn("owner", F.regexp_extract("node", r"^(\$\.[^.\[]+\[\d+\])\.[^.\[]+$", 1))
-    pick = {c: F.max(F.when(F.col("label") == c, F.col("scalar"))) for c in columns}
-    made = entities(own, F.col("node").startswith(f"$.{field}[") & (F.col("owner") != ""), pick)
-    return made.select("record", start.alias("parent"), F.regexp_extract("owner", r"\[(\d+)\]$", 1).cast("int").alias("ordinal"), *columns)
+    """(record, parent, ordinal, *columns): the entity table of the objects at ``$.field`` or in the array there.
+
+    ``field`` may lie at any depth, as in ``metadata.passages`` or ``turns[].calls``; ``parent`` is the node that
+    holds the object and ``ordinal`` its place there. Nulls in the place of objects have no row.
+    """
+    path = _at(field, r"(?:\[\d+\])?")
+    own = adjacency.withColumn("owner", F.when((F.col("kind") == "object") & F.regexp_like("node", path), F.col("node")).otherwise(F.col("parent")))
+    itself = F.col("owner") == F.col("node")
+    pick = {c: F.max(F.when(~itself & (F.col("label") == c), F.col("scalar"))) for c in columns}
+    link = {"_parent": F.max(F.when(itself, F.col("parent"))), "_ordinal": F.max(F.when(itself, F.col("ordinal")))}
+    made = entities(own, F.regexp_like("owner", path), link | pick).where("_parent is not null")
+    return made.select("record", F.col("_parent").alias("parent"), F.col("_ordinal").alias("ordinal"), *columns)
+
+
+def child_values(adjacency: DataFrame, field: str) -> DataFrame:
+    """(record, parent, ordinal, value): the scalars and nulls in the array at ``$.field``, whose node is the parent."""
+    inner = adjacency.where(F.col("label").isNull() & F.col("kind").isin("scalar", "null") & F.regexp_like("parent", _at(field, "")))
+    return inner.select("record", "parent", "ordinal", F.col("scalar").alias("value")).distinct()
 
 
 # -- references that resolve inside their own record ---------------------------------------------------------
@@ -134,13 +152,9 @@ def _scalar_entities(adjacency: DataFrame) -> tuple[DataFrame, DataFrame]:
     return refs, targets
 
 
-def context_entities(adjacency: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(supporting facts, context entries) of raw multi-hop rows, from their adjacency table.
-
-    A context entry is a pair [title, sentences], an object with title and sentences or text, or a field of
-    a mapping title -> sentences; sentences may be plain text, which is one sentence. A supporting fact is a
-    pair [title, index] or an object with title and sent_id or sent_idx; an index may be missing (0) or text.
-    """
+def _owned(adjacency: DataFrame) -> tuple[DataFrame, Column, Column, Column]:
+    """Nodes of context and supporting facts with the entry or fact they belong to, and what tells that a node is
+    the entry or fact itself, lies right inside it, or is an element of its list of sentences."""
     node, inside = F.col("node"), F.col("parent") == F.col("owner")
     direct = F.col("parent").isin("$.context", "$.supporting_facts")
     listed_entry = r"^(\$\.(?:context|supporting_facts)\[\d+\])"
@@ -148,9 +162,48 @@ def context_entities(adjacency: DataFrame) -> tuple[DataFrame, DataFrame]:
     # its entries is told by the parent
     owner = F.when(direct, node).when(F.regexp_like("node", F.lit(listed_entry + r"[.\[]")), F.regexp_extract("node", listed_entry, 1)).otherwise(F.col("parent"))
     nested = adjacency.where(node.startswith("$.context") | node.startswith("$.supporting_facts")).where("node not in ('$.context', '$.supporting_facts')").withColumn("owner", owner)
-    scalar, bare = F.col("kind") == "scalar", F.col("label").isNull()
     tail = F.substring(node, F.length("owner") + 1, F.lit(1_000_000))
     in_list = ~inside & ~direct & F.regexp_like(tail, F.lit(r"^(?:\.sentences|\.text|\[1\])\[\d+\]$"))
+    return nested, direct, inside, in_list
+
+
+def context_entries(adjacency: DataFrame) -> DataFrame:
+    """(record, child_no, title, url_slug, sentences) of every context entry, in the forms that
+    ``context_entities`` names; ``sentences`` are (sub_no, text). Where an entry has both, sentences go before text."""
+    nested, direct, inside, in_list = _owned(adjacency)
+    nested = nested.where(F.col("owner").startswith("$.context"))
+    scalar, bare, mapped = F.col("kind") == "scalar", F.col("label").isNull(), F.col("owner").startswith("$.context.")
+    leaf, place = F.col("kind").isin("scalar", "null"), F.col("ordinal")
+    single = (direct & mapped & scalar) | (inside & ~mapped & scalar & (F.col("label").isin("sentences", "text") | (bare & (place == 1))))
+    listed = leaf & (in_list | (inside & mapped & bare & ~direct))
+    field = F.when((F.col("label") == "text") | F.col("parent").endswith("].text"), 1).otherwise(0)
+    sentence = F.struct(F.when(single, 0).otherwise(place).alias("sub_no"), field.alias("field"), F.col("scalar").alias("text"))
+    text_of = lambda c: F.max(F.when(c, F.col("scalar")))
+    made = entities(
+        nested,
+        F.lit(True),
+        {
+            "child_no": F.max(F.when(direct, place)),
+            "name": F.max(F.when(direct, F.col("label"))),
+            "title": text_of(inside & ~mapped & scalar & ((F.col("label") == "title") | (bare & (place == 0)))),
+            "url_slug": text_of(inside & ~mapped & scalar & (F.col("label") == "url_slug")),
+            "found": F.collect_set(F.when(single | listed, sentence)),
+        },
+    ).where("child_no is not null")
+    first = F.array_min(F.transform("found", lambda x: x["field"]))
+    kept = F.transform(F.filter("found", lambda x: x["field"] == F.col("_first")), lambda x: F.struct(x["sub_no"].alias("sub_no"), x["text"].alias("text")))
+    return made.withColumn("_first", first).select("record", "child_no", F.coalesce("name", "title").alias("title"), "url_slug", F.array_sort(kept).alias("sentences"))
+
+
+def context_entities(adjacency: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(supporting facts, context entries) of raw multi-hop rows, from their adjacency table.
+
+    A context entry is a pair [title, sentences], an object with title and sentences or text, or a field of
+    a mapping title -> sentences; sentences may be plain text, which is one sentence. A supporting fact is a
+    pair [title, index] or an object with title and sent_id or sent_idx; an index may be missing (0) or text.
+    """
+    nested, direct, inside, in_list = _owned(adjacency)
+    scalar, bare = F.col("kind") == "scalar", F.col("label").isNull()
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))
     text_of = lambda c: F.max(F.when(c, F.col("scalar")))
     made = entities(

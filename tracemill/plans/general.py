@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,47 @@ def p5_corpus(spark: SparkSession, d: str) -> DataFrame:
     return flat.select(F.col("record").alias("id"), F.col("ordinal").cast("long").alias("child_no"), "doc_id", "title", "text")
 
 
+def _metadata(spark: SparkSession, d: str) -> DataFrame:
+    return shred.shred_columns(table(spark, d, "rollouts_for_grpo"), "rollout_id", ["metadata"])
+
+
+def p5_metadata(spark: SparkSession, d: str) -> DataFrame:
+    flat = shred.parent_child(_metadata(spark, d), "metadata", ["answer", "final_answer", "search_count", "candidate_pool", "reward"])
+    kinds = {"search_count": "int", "reward": "double"}
+    return flat.select(F.col("record").cast("long").alias("rollout_id"), *[F.col(c).cast(kinds.get(c, "string")) for c in flat.columns[3:]])
+
+
+def p5_metadata_lists(spark: SparkSession, d: str) -> DataFrame:
+    nodes, parts = _metadata(spark, d), []
+    for field in ("gold_doc_ids", "retrieved_doc_ids", "candidate_doc_ids", "quality_flags", "quality_notes"):
+        parts.append(shred.child_values(nodes, f"metadata.{field}").withColumn("field", F.lit(field)))
+    flat = functools.reduce(DataFrame.unionByName, parts)
+    return flat.select(F.col("record").cast("long").alias("rollout_id"), "field", F.col("ordinal").cast("long").alias("child_no"), "value")
+
+
+def p5_candidates(spark: SparkSession, d: str) -> DataFrame:
+    flat = shred.parent_child(_metadata(spark, d), "metadata.candidate_passages", ["doc_id", "title", "text"])
+    return flat.select(F.col("record").cast("long").alias("rollout_id"), F.col("ordinal").cast("long").alias("child_no"), "doc_id", "title", "text")
+
+
+def _raw_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return shred.shred_json(table(spark, d, "raw_records"), "raw_id", "record", ["context", "supporting_facts"])
+
+
+def p5_context(spark: SparkSession, d: str) -> DataFrame:
+    return shred.context_entries(_raw_nodes(spark, d)).select(F.col("record").cast("long").alias("raw_id"), F.col("child_no").cast("long"), "title", "url_slug")
+
+
+def p5_sentences(spark: SparkSession, d: str) -> DataFrame:
+    flat = shred.context_entries(_raw_nodes(spark, d)).select("record", "child_no", F.explode("sentences").alias("s"))
+    return flat.select(F.col("record").cast("long").alias("raw_id"), F.col("child_no").cast("long"), F.col("s.sub_no").cast("long"), "s.text")
+
+
+def p5_facts(spark: SparkSession, d: str) -> DataFrame:
+    facts, _ = shred.context_entities(_raw_nodes(spark, d).withColumn("tab", F.lit("raw_records")))
+    return facts.select(F.col("record").cast("long").alias("raw_id"), F.col("ref_no").cast("long"), F.col("name").alias("title"), F.col("sub_no").cast("long"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.layout_changes(table(spark, d, "raw_records"))
 
@@ -71,7 +113,7 @@ def _stub_generator(prompts: list[str]) -> list[str]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found, "p5_corpus": p5_corpus, "p7_found": p7_found, "p7_table": p7_table, **{f.__name__: f for f in (qa_ingest_passages, qa_ingest_examples, validate_rows, reject_reason_counts, mock_validation, generated_actions)}}
+    return {"p5_found": p5_found, "p5_corpus": p5_corpus, **{f.__name__: f for f in (p5_metadata, p5_metadata_lists, p5_candidates, p5_context, p5_sentences, p5_facts)}, "p7_found": p7_found, "p7_table": p7_table, **{f.__name__: f for f in (qa_ingest_passages, qa_ingest_examples, validate_rows, reject_reason_counts, mock_validation, generated_actions)}}
 
 
 def oracle_sql() -> dict[str, str]:
