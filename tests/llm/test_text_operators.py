@@ -160,6 +160,20 @@ def test_a_dozen_verbatim_words_are_a_leak_without_rare_words(spark):
     assert [tuple(r) for r in rows.select("doc_id", "item_id").collect()] == [(1, 2), (4, 2)]
 
 
+def test_every_passage_and_every_item_of_equal_text_is_reported():
+    known = leakage.Items([(i, ITEM) for i in range(5)])
+    assert sorted(x[0] for x in known.leaks("start " + ITEM)) == [0, 1, 2, 3, 4]
+    weeks = "which had stood unfinished for many weeks when the jury came and asked for a list of all that was left"
+    known = leakage.Items([(9, ITEM + " " + weeks)])
+    got = known.leaks(f"{ITEM}. Then: {weeks}")
+    assert len(got) == 2 and {x[0] for x in got} == {9}
+    # the longer run has too many changed words, the shorter one is verbatim
+    swapped = " ".join("xyz" if k % 2 else w for k, w in enumerate((ITEM + " " + weeks).split() + ["end"] * 9))
+    short = " ".join(weeks.split()[:12])
+    runs = leakage.Items([(9, ITEM + " " + weeks)]).leaks(f"{swapped} Then: {short}")
+    assert [x[6] for x in runs] == [12]
+
+
 # -- reading level ----------------------------------------------------------------------------------------------
 
 EASY = ["The cat is big.", "We see the red bell.", "Look at the map!", "It is on the hat.", "Tom has a dog."]

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 #: Words of a piece; words a leak has at least, changed ones included; share of changed words in a run at most.
 PIECE, RUN_WORDS, CHANGED = 3, 12, 0.25
-#: An instruction: twelve words in a row that stand in that many items; a word of few items is its own.
+#: An instruction: twelve words in a row that stand in that many items; a word of few items is its own. Items of
+#: equal words count once for both.
 INSTRUCTION_WORDS, INSTRUCTION_ITEMS, OWN_ITEMS = 12, 3, 3
 
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,60}>")
@@ -39,10 +40,10 @@ class Items:
         self.words = {i: [w for w, _, _ in words(t)] for i, t in rows if i is not None and t is not None}
         shared: dict[tuple, set] = defaultdict(set)
         spread = Counter()
-        for i, ws in self.words.items():
+        for n, ws in enumerate({tuple(ws) for ws in self.words.values()}):
             spread.update(set(ws))
             for k in range(len(ws) - INSTRUCTION_WORDS + 1):
-                shared[tuple(ws[k : k + INSTRUCTION_WORDS])].add(i)
+                shared[ws[k : k + INSTRUCTION_WORDS]].add(n)
         #: per item and position: 0 instruction, 1 text, 2 a word of its own
         self.kind: dict[int, list[int]] = {}
         for i, ws in self.words.items():
@@ -92,8 +93,8 @@ class Items:
         return ends[0], ends[1], same, own, changed, exact
 
     def leaks(self, text: str) -> list[tuple[int, int, int, int, int, int, int]]:
-        """(item, start, end, words equal, own words equal, changed words, longest equal stretch) of the best
-        run of each item."""
+        """(item, start, end, words equal, own words equal, changed words, longest equal stretch) of every run
+        that is a leak."""
         found = words(text)
         ws = [w for w, _, _ in found]
         if self.empty or len(ws) < PIECE:
@@ -110,16 +111,14 @@ class Items:
                 hits[item][k - p].append((k, p))
         out = []
         for item, diagonals in hits.items():
-            best = None
             for places in diagonals.values():
                 done = -1
                 for k, p in places:
                     if k <= done:
                         continue
                     first, done, same, own, changed, exact = self._run(item, ws, k, p)
-                    if best is None or same > best[3]:
-                        best = (item, found[first][1], found[done][2], same, own, changed, exact)
-            out.append(best)
+                    if is_leak(same, own, changed, exact):
+                        out.append((item, found[first][1], found[done][2], same, own, changed, exact))
         return out
 
 
@@ -130,14 +129,14 @@ def is_leak(same: int, own: int, changed: int, exact: int) -> bool:
 
 
 def leaked_passages(documents: DataFrame, items: DataFrame, max_items_mb: int = 64) -> DataFrame:
-    """(doc_id, item_id, start_char, end_char, words): every document that holds a passage of an item.
+    """(doc_id, item_id, start_char, end_char, words): every passage of an item in a document.
 
     A passage has at least RUN_WORDS words in a row of the item's own text, apart from case, punctuation,
     spacing, markup and single changed words. A passage in which every dozen words hold a changed one counts
     only with two words that stand in at most OWN_ITEMS items and are no numbers, since items of one pattern
     differ in such words. Instructions that stand in many items are no own text.
     Null ids and null or empty texts and items match nothing; items with equal text are all reported; a repeated
-    document row is reported once for each row. ``items`` goes to every task as one automaton, so its
+    document row is reported for each row. ``items`` goes to every task as one automaton, so its
     texts must stay below ``max_items_mb`` (checked); larger sets are to be scanned in several calls.
     """
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -153,8 +152,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, max_items_mb: int =
                 (doc, item, start, end, same)
                 for doc, text in zip(pdf["doc_id"], pdf["text"])
                 if isinstance(text, str)
-                for item, start, end, same, own, changed, exact in known.leaks(text)
-                if is_leak(same, own, changed, exact)
+                for item, start, end, same, *_ in known.leaks(text)
             ]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "start_char", "end_char", "words"])
 
