@@ -162,6 +162,13 @@ def test_consistent_table(spark):
     assert made.count() == 13 and {r["f_record_id"] for r in made.collect()} == {"1", "7", None}
 
 
+def test_too_many_spellings_are_an_error(spark):
+    spelled = {"".join(c.upper() if n >> i & 1 else c for i, c in enumerate("abcdefghijklm")): 1 for n in range(5_001)}
+    raw = spark.createDataFrame([(1, "f", "f/1", 1, json.dumps(spelled))], "raw_id int, feed string, file_name string, line_no int, record string")
+    with pytest.raises(ValueError, match="spellings"):
+        drift.consistent_table(raw)
+
+
 LOG = "started_at=2030-01-01\n\x1b[36m(x)\x1b[0m step:1 - critic/rewards/mean:1.1 - bad:x - a:b:2.5,\nstep:2 - critic/rewards/mean:1.08\nstep:3 - critic/rewards/mean:0.59\nstep:3 - val-x:1 - critic/rewards/mean:0.6\nTraining Progress: 100%|#\nDataLoader worker exited\nfinished_at=2030-01-02\n"
 
 

@@ -127,16 +127,19 @@ def union_schema(raw: DataFrame, families: Mapping[str, Sequence[str]] = FAMILIE
     return [(r["meaning"].lstrip("="), r["type"]) for r in rows]
 
 
-def consistent_table(raw: DataFrame, families: Mapping[str, Sequence[str]] = FAMILIES, keys: Sequence[str] = ("raw_id", "feed", "file_name", "line_no")) -> DataFrame:
+def consistent_table(raw: DataFrame, families: Mapping[str, Sequence[str]] = FAMILIES, keys: Sequence[str] = ("raw_id", "feed", "file_name", "line_no"), max_spellings: int = 5_000) -> DataFrame:
     """All readable records in the union schema: the keys, then one column for each meaning, named f_<meaning>.
 
     A value is cast to the column's type; arrays and objects are JSON text. Where a record has several fields
-    of one meaning, the first that isn't null counts, in the order of the family. Broken JSON has no row.
+    of one meaning, the first that isn't null counts, in the order of the family, else
+    by name. Broken JSON has no row. More than ``max_spellings`` fields outside the families are an error, not a cut.
     """
     members = {name: list(fields) for name, fields in families.items()}
     schema = union_schema(raw, families)
     known = {f for fields in families.values() for f in fields}
-    spelled = json_fields(raw, "record", ["file_name"]).where(~F.col("field").isin(*known)).groupBy("field").agg(F.first(plain_name(F.col("field"))).alias("m")).limit(5_000).collect()
+    spelled = json_fields(raw, "record", ["file_name"]).where(~F.col("field").isin(*known)).groupBy("field").agg(F.first(plain_name(F.col("field"))).alias("m")).orderBy("field").limit(max_spellings + 1).collect()
+    if len(spelled) > max_spellings:
+        raise ValueError(f"more than {max_spellings} spellings of fields")
     for r in spelled:
         members.setdefault(r["m"], []).append(r["field"])
     parsed = raw.withColumn("_v", F.try_parse_json("record")).where("_v is not null and schema_of_variant(_v) like 'OBJECT%'")
