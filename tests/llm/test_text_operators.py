@@ -8,20 +8,38 @@ from tracemill.llm import defects, leakage, reading_level, split_overlap, tokens
 # -- questions across splits ---------------------------------------------------------------------------------
 
 
-def test_probe_keys_meet_every_string_within_k_edits():
+def test_edited_questions_meet_in_a_key_at_every_level():
+    """However crowded a segment is, two questions with k edits of ordinary words share a key of each level."""
     rng = random.Random(2)
-    for _ in range(400):
-        a = "".join(rng.choice("abc ") for _ in range(rng.randrange(0, 30)))
-        b, k = list(a), 3
-        for _ in range(rng.randrange(0, k + 1)):
-            at, how = rng.randrange(0, len(b) + 1), rng.random()
-            if how < 0.4 or at == len(b):
-                b.insert(at, rng.choice("abcd"))
-            elif how < 0.7:
-                b.pop(at)
-            else:
-                b[at] = rng.choice("abcd")
-        assert set(split_overlap.own_keys("".join(b), k)) & split_overlap.probe_keys(a, k), (a, b)
+    names = {"foo", "bar", "baz", "qux"}
+    form = lambda q: split_overlap.Form(q, lambda w: w not in names)
+    for _ in range(200):
+        words = rng.sample("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda".split(), 8)
+        a = words + rng.sample(sorted(names), 3)
+        b = list(a)
+        for i in rng.sample(range(8), rng.randrange(0, 4)):
+            b[i] = f"new{chr(97 + i)}"
+        rng.shuffle(b)
+        order = lambda w: (len(w), w)
+        for level in range(4):
+            x, y = (set(split_overlap.join_keys(form(q), q, order, level)) for q in (" ".join(a), " ".join(b)))
+            assert x & y, (a, b, level)
+
+
+def _longest_common(a, b):
+    row = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            row[i + 1][j + 1] = row[i][j] + 1 if x == y else max(row[i][j + 1], row[i + 1][j])
+    return row[-1][-1]
+
+
+def test_banded_matching_equals_the_whole_table():
+    rng = random.Random(5)
+    for _ in range(300):
+        a = [rng.choice("abcde") for _ in range(rng.randrange(0, 12))]
+        b = [rng.choice("abcde") for _ in range(rng.randrange(0, 12))]
+        assert split_overlap._longest(a, b, set(), 16) == _longest_common(a, b)
 
 
 EXAMPLES = "id string, question string, split string, source string, names string, k int"
@@ -64,8 +82,11 @@ def test_overlaps_of_an_empty_table_and_long_questions(spark):
     assert [tuple(r) for r in got] == [("a", "b")]
 
 
-def test_overlaps_of_rare_ordinary_words_in_large_input(spark):
-    """From 20 000 questions on, a word of one question isn't common."""
+def pairs_of(spark, rows):
+    return {tuple(r) for r in split_overlap.overlap_pairs(examples(spark, rows)).collect()}
+
+
+def test_overlaps_do_not_depend_on_the_size_of_the_table(spark):
     rows = [
         ("t1", "Which zymurgy did Tidrikiwi study quixotically in 1790?", "train", "a"),
         ("e1", "WHICH ZYMURGY DID TIDRIKIWI STUDY QUIXOTICALLY IN 1790?", "test", "b"),
@@ -74,9 +95,43 @@ def test_overlaps_of_rare_ordinary_words_in_large_input(spark):
         ("t2", "Who met Zymurgist in 1791?", "train", "a"),
         ("t3", "Where did Tidrikawo live?", "train", "a"),
     ]
-    filler = [(f"f{i}", f"What is {i} and 7?", "train", "c") for i in range(10_000, 30_000)]
-    got = {tuple(r) for r in split_overlap.overlap_pairs(examples(spark, rows + filler)).collect()}
-    assert got == {("e1", "t1"), ("e2", "t1")}
+    for n in (10, 20_000):
+        filler = [(f"f{i}", f"What is {i} and 7?", "train", "c") for i in range(10_000, 10_000 + n)]
+        assert pairs_of(spark, rows + filler) == {("e1", "t1"), ("e2", "t1")}
+
+
+def test_other_facts_about_the_same_things_are_no_overlap(spark):
+    rows = [
+        ("a1", "Who directed Titanic in Boston?", "train", "s"),
+        ("b1", "When was Titanic released in Boston?", "test", "s"),
+        ("b2", "Who produced Titanic in Boston?", "test", "s"),
+        ("b3", "who directed titanic, in boston", "test", "s"),
+        ("a2", "What is the capital of the largest country?", "train", "s"),
+        ("b4", "What is the population of the smallest country?", "test", "s"),
+        ("b5", "What is the captial of the largest country?", "test", "s"),
+        ("b6", "Please tell me: what's the capital of the largest country?", "test", "s"),
+        ("a3", "Where did Anna Berg meet the painter Carl Dorn before 1920?", "train", "s"),
+        ("b7", "Before 1920, where did Anna Berg meet the painter Carl Dorn?", "test", "s"),
+        ("b8", "Where did Anna Berg meet the writer Carl Dorn before 1921?", "test", "s"),
+        ("b9", "Where did Carl Dorn meet the painter Anna Berg before 1920?", "test", "s"),
+    ]
+    assert pairs_of(spark, rows) == {("a1", "b3"), ("a2", "b5"), ("a3", "b7")}
+
+
+def test_questions_without_names_meet_only_their_like(spark):
+    """Linear: two thousand questions a side of one pattern, each with one partner."""
+    word = lambda i: "".join(chr(97 + int(d)) for d in f"{i:05d}")
+    text = [f"what is the colour of the {word(i)} {word(i + 40_000)} in winter" for i in range(2_000)]
+    rows = [(f"t{i}", t, "train", "s") for i, t in enumerate(text)] + [(f"e{i}", t.capitalize() + "?", "test", "s") for i, t in enumerate(text)]
+    assert pairs_of(spark, rows) == {(f"e{i}", f"t{i}") for i in range(2_000)}
+
+
+def test_a_crowded_name_is_split_by_further_words(spark):
+    """Three hundred facts about the same two names a side: only equal facts are pairs."""
+    word = lambda i: "".join("bcdfghklmn"[int(d)] + "ao"[int(d) % 2] for d in f"{i:03d}")
+    text = [f"Who {word(i)} and {word(i + 300)} the {word(i + 600)} of Anna Berg?" for i in range(300)]
+    rows = [(f"t{i}", t, "train", "s") for i, t in enumerate(text)] + [(f"e{i}", t.upper(), "test", "s") for i, t in enumerate(text)]
+    assert pairs_of(spark, rows) == {(f"e{i}", f"t{i}") for i in range(300)}
 
 
 # -- tokenizer --------------------------------------------------------------------------------------------------
