@@ -215,20 +215,36 @@ def test_a_dozen_verbatim_words_are_a_leak_without_rare_words(spark):
     assert [tuple(r) for r in rows.select("doc_id", "item_id").collect()] == [(1, 2), (4, 2)]
 
 
-def test_every_passage_and_every_item_of_equal_text_is_reported():
-    known = leakage.Items([(i, ITEM) for i in range(5)])
-    assert sorted(x[0] for x in known.leaks("start " + ITEM)) == [0, 1, 2, 3, 4]
+def as_items(text):
+    words = " ".join(w for w, _, _ in leakage.words(text))
+    return leakage.Items([(9, words, "2" * len(words.split()))])
+
+
+def test_every_passage_is_reported():
     weeks = "which had stood unfinished for many weeks when the jury came and asked for a list of all that was left"
-    known = leakage.Items([(9, ITEM + " " + weeks)])
-    got = known.leaks(f"{ITEM}. Then: {weeks}")
+    got = as_items(ITEM + " " + weeks).leaks(f"{ITEM}. Then: {weeks}")
     assert len(got) == 2 and {x[0] for x in got} == {9}
     # the longer run has too many changed words, the shorter one is verbatim
     swapped = " ".join("xyz" if k % 2 else w for k, w in enumerate((ITEM + " " + weeks).split() + ["end"] * 9))
     short = " ".join(weeks.split()[:12])
-    runs = leakage.Items([(9, ITEM + " " + weeks)]).leaks(f"{swapped} Then: {short}")
+    runs = as_items(ITEM + " " + weeks).leaks(f"{swapped} Then: {short}")
     assert [x[6] for x in runs] == [12]
 
 
+def test_leaks_depend_neither_on_the_count_of_items_nor_on_the_parts(spark):
+    """Copies of an item, a hundred times as many items, and parts of the set: the passage is found each time."""
+    changed = ITEM.replace("less", "more").replace("lamps", "lights").replace("Garden", "Park")
+    docs = spark.createDataFrame([(1, ITEM), (2, changed), (3, "nothing of that kind stands here")], "doc_id long, text string")
+    other = lambda i: " ".join(f"{w}{i % 97}" if k % 3 else w for k, w in enumerate(ITEM.split())) + f" Number{i}."
+    for copies, more in ((1, 0), (4, 40), (4, 4_000)):
+        items = spark.createDataFrame([(i, ITEM) for i in range(copies)] + [(100 + i, other(i)) for i in range(more)], "item_id long, text string")
+        want = sorted((d, i) for d in (1, 2) for i in range(copies))
+        whole = leakage.leaked_passages(docs, items).select("doc_id", "item_id").distinct().collect()
+        assert sorted(map(tuple, whole)) == want, (copies, more)
+        parts = leakage.leaked_passages(docs, items, part_mb=0.002 if more < 100 else 0.2).select("doc_id", "item_id").distinct().collect()
+        assert sorted(map(tuple, parts)) == want, (copies, more)
+
+
 # -- reading level ----------------------------------------------------------------------------------------------
 
 EASY = ["The cat is big.", "We see the red bell.", "Look at the map!", "It is on the hat.", "Tom has a dog."]

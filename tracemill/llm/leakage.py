@@ -8,18 +8,20 @@ the run is mapped back to offsets of the original text.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.session import cut_lineage
+
 #: Words of a piece; words a leak has at least, changed ones included; share of changed words in a run at most.
 PIECE, RUN_WORDS, CHANGED = 3, 12, 0.25
 #: An instruction: twelve words in a row that stand in that many items; a word of few items is its own. Items of
 #: equal words count once for both.
-INSTRUCTION_WORDS, INSTRUCTION_ITEMS, OWN_ITEMS = 12, 3, 3
+INSTRUCTION_WORDS, INSTRUCTION_ITEMS, OWN_ITEMS, OWN_SHARE = 12, 3, 3, 0.02
 
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,60}>")
 _WORD = re.compile(r"[^\W_]+")
@@ -31,27 +33,54 @@ def words(text: str) -> list[tuple[str, int, int]]:
     return [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(plain)]
 
 
+def item_texts(items: DataFrame) -> DataFrame:
+    """(text_no, words, item_ids): the distinct word sequences of the items, each with all items that have it."""
+    pieces = F.udf(lambda t: " ".join(w for w, _, _ in words(t)), "string")
+    named = items.where("item_id is not null and text is not null").select("item_id", pieces("text").alias("words")).where("words != ''")
+    return named.groupBy("words").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids")).withColumn("text_no", F.xxhash64("words"))
+
+
+def marked_texts(texts: DataFrame) -> DataFrame:
+    """(text_no, words, item_ids, kinds): ``kinds`` tells of each word whether it belongs to an instruction (0), to the
+    text (1), or is one of the text's own words (2). Counted over all distinct texts, before any part is scanned.
+
+    A dozen words in a row are an instruction if they stand in at least INSTRUCTION_ITEMS texts. A word is own if
+    it stands in at most OWN_SHARE of the texts, or in OWN_ITEMS of few, and is no number: a share, so that a set a
+    hundred times as large, made of texts of the same kind, has the same own words."""
+    ws = F.split("words", " ")
+    few = max(OWN_ITEMS, OWN_SHARE * texts.count())
+    placed = texts.select("text_no", F.posexplode(ws).alias("at", "word"))
+    spread = placed.groupBy("word").agg(F.count_distinct("text_no").alias("n"))
+    # a word of nearly all texts would be a hot key of the join back: only own words, which are in few texts, go back
+    own = spread.where((F.col("n") <= few) & ~F.col("word").rlike(r"^\d+$")).select("word")
+    own_at = placed.join(own, "word").groupBy("text_no").agg(F.collect_set("at").alias("own"))
+    starts = F.when(F.size(ws) >= INSTRUCTION_WORDS, F.sequence(F.lit(0), F.size(ws) - INSTRUCTION_WORDS))
+    runs = texts.select("text_no", ws.alias("ws"), F.explode(starts).alias("at"))
+    runs = runs.select("text_no", "at", F.xxhash64(F.array_join(F.slice("ws", F.col("at") + 1, INSTRUCTION_WORDS), " ")).alias("run"))
+    often = runs.groupBy("run").agg(F.count_distinct("text_no").alias("n")).where(F.col("n") >= INSTRUCTION_ITEMS)
+    told = runs.join(often, "run").groupBy("text_no").agg(F.collect_set("at").alias("told"))
+    wide = texts.join(own_at, "text_no", "left").join(told, "text_no", "left")
+
+    def mark(n, own, told):
+        kinds = ["1"] * n
+        for k in own if own is not None else ():
+            kinds[k] = "2"
+        for k in told if told is not None else ():
+            kinds[k : k + INSTRUCTION_WORDS] = "0" * INSTRUCTION_WORDS
+        return "".join(kinds)
+
+    return wide.select("text_no", "words", "item_ids", F.udf(mark, "string")(F.size(ws), "own", "told").alias("kinds"))
+
+
 class Items:
-    """The evaluation items, ready to be looked for."""
+    """Some texts of evaluation items, ready to be looked for."""
 
-    def __init__(self, rows: list[tuple[int, str]]) -> None:
+    def __init__(self, rows: list[tuple[int, str, str]]) -> None:
         import ahocorasick
 
-        self.words = {i: [w for w, _, _ in words(t)] for i, t in rows if i is not None and t is not None}
-        shared: dict[tuple, set] = defaultdict(set)
-        spread = Counter()
-        for n, ws in enumerate({tuple(ws) for ws in self.words.values()}):
-            spread.update(set(ws))
-            for k in range(len(ws) - INSTRUCTION_WORDS + 1):
-                shared[ws[k : k + INSTRUCTION_WORDS]].add(n)
+        self.words = {i: ws.split(" ") for i, ws, _ in rows}
         #: per item and position: 0 instruction, 1 text, 2 a word of its own
-        self.kind: dict[int, list[int]] = {}
-        for i, ws in self.words.items():
-            kind = [2 if spread[w] <= OWN_ITEMS and not w.isdigit() else 1 for w in ws]
-            for k in range(len(ws) - INSTRUCTION_WORDS + 1):
-                if len(shared[tuple(ws[k : k + INSTRUCTION_WORDS])]) >= INSTRUCTION_ITEMS:
-                    kind[k : k + INSTRUCTION_WORDS] = [0] * INSTRUCTION_WORDS
-            self.kind[i] = kind
+        self.kind = {i: [int(c) for c in kinds] for i, _, kinds in rows}
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for i, ws in self.words.items():
             for k in range(len(ws) - PIECE + 1):
@@ -128,25 +157,48 @@ def is_leak(same: int, own: int, changed: int, exact: int) -> bool:
     return exact >= RUN_WORDS or same + changed >= RUN_WORDS and own >= 2 and changed <= CHANGED * (same + changed)
 
 
-def leaked_passages(documents: DataFrame, items: DataFrame, max_items_mb: int = 64) -> DataFrame:
+#: The automata of this process, by the broadcast they were built from: built once, not for each task.
+_BUILT: dict[int, Items] = {}
+
+
+def _items(shared) -> Items:
+    known = _BUILT.get(shared._bid) if hasattr(shared, "_bid") else None
+    if known is None:
+        _BUILT.clear()  # one part is scanned at a time
+        known = Items(shared.value)
+        if hasattr(shared, "_bid"):
+            _BUILT[shared._bid] = known
+    return known
+
+
+def leaked_passages(documents: DataFrame, items: DataFrame, part_mb: int = 64) -> DataFrame:
     """(doc_id, item_id, start_char, end_char, words): every passage of an item in a document.
 
     A passage has at least RUN_WORDS words in a row of the item's own text, apart from case, punctuation,
     spacing, markup and single changed words. A passage in which every dozen words hold a changed one counts
-    only with two words that stand in at most OWN_ITEMS items and are no numbers, since items of one pattern
-    differ in such words. Instructions that stand in many items are no own text.
-    Null ids and null or empty texts and items match nothing; items with equal text are all reported; a repeated
-    document row is reported for each row. ``items`` goes to every task as one automaton, so its
-    texts must stay below ``max_items_mb`` (checked); larger sets are to be scanned in several calls.
+    only with two own words (in at most OWN_SHARE of the items, or OWN_ITEMS of few, and no numbers), since items of
+    one pattern differ in such words. Instructions that stand in many items are no own text.
+    Null ids and null or empty texts and items match nothing; items with equal text are one text for all counts and are
+    all reported; a repeated document row is reported for each row. A part of ``part_mb`` of the distinct item texts goes
+    to every task as one automaton; larger sets are scanned part by part, with the counts of the whole set.
     """
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > max_items_mb * 1_000_000:
-        raise ValueError(f"the items have {size} bytes; scan them in parts of {max_items_mb} MB")
-    rows = [(r["item_id"], r["text"]) for r in items.select("item_id", "text").collect()]
-    shared = documents.sparkSession.sparkContext.broadcast(rows)
-
+    spark = documents.sparkSession
+    marked = cut_lineage(marked_texts(cut_lineage(item_texts(items))))
+    size = marked.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    parts = int(size // (part_mb * 1_000_000)) + 1
+    docs = documents.select("doc_id", "text").where("text is not null and doc_id is not null")
+    found = None
+    for part in range(parts):
+        own = marked if parts == 1 else marked.where(F.pmod("text_no", F.lit(parts)) == part)
+        rows = [tuple(r) for r in own.select("text_no", "words", "kinds").collect()]
+        here = docs.mapInPandas(_scanner(spark.sparkContext.broadcast(rows)), "doc_id long, text_no long, start_char int, end_char int, words int")
+        found = here if found is None else found.unionByName(here)
+    return found.join(marked.select("text_no", F.explode("item_ids").alias("item_id")), "text_no").select("doc_id", "item_id", "start_char", "end_char", "words")
+
+
+def _scanner(shared):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Items(shared.value)
+        known = _items(shared)
         for pdf in batches:
             out = [
                 (doc, item, start, end, same)
@@ -154,9 +206,9 @@ def leaked_passages(documents: DataFrame, items: DataFrame, max_items_mb: int =
                 if isinstance(text, str)
                 for item, start, end, same, *_ in known.leaks(text)
             ]
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "start_char", "end_char", "words"])
+            yield pd.DataFrame(out, columns=["doc_id", "text_no", "start_char", "end_char", "words"])
 
-    return documents.select("doc_id", "text").where("text is not null and doc_id is not null").mapInPandas(scan, "doc_id long, item_id long, start_char int, end_char int, words int")
+    return scan
 
 
 def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
