@@ -25,7 +25,8 @@ _QUOTE = re.compile(r"[“«][^“”«»]{0,300}[”»]|\"[^\"\n]{0,300}\"")
 _BLOCK = re.compile(r"\n\s*\n|\n(?=[#|>*\[-])")
 _HEAD = re.compile(r"\s*(#|\||Q:|-{2,}|\[\d+\]|>)")
 _STOP = re.compile(r"(?<=[.!?])\s+")
-_TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[.,;!?]")
+# of texts without underscores
+_TOKEN, _RUN = re.compile(r"\w+(?:['’]\w+)?|[.,;!?]"), re.compile(r"\w+")
 _LOWER = re.compile(r"[^\W\d_]+")
 
 # Frequent function words of the languages that the corpus may hold (fixed values).
@@ -40,19 +41,42 @@ OTHERS = {
 }
 
 
+#: Each function word with its languages.
+_FUNCTION: dict[str, list[str]] = {}
+for _name, _words in [("en", ENGLISH), *OTHERS.items()]:
+    for _w in _words:
+        _FUNCTION.setdefault(_w, []).append(_name)
+
+#: Tokens inside a sentence with what they count as; emptied when it is full.
+_SHAPES: dict[str, str] = {}
+
+
+def _shape(w: str) -> str:
+    """A name, a number, or the word in lower case."""
+    if len(_SHAPES) > 200_000:
+        _SHAPES.clear()
+    made = _SHAPES[w] = "#" if w.isdigit() else "N" if w[0].isupper() else w.lower()
+    return made
+
+
 def is_english(text: str) -> bool:
     """English function words outweigh those of each other language. Words between two capitalised ones
     don't count, since names and titles keep their language."""
-    words = _LOWER.findall(text)
-    low = [w[0].islower() for w in words]
+    words = _RUN.findall(text.replace("_", " ") if "_" in text else text)
+    if not all(map(str.isalpha, words)):
+        words = [x for w in words for x in ((w,) if w.isalpha() else _LOWER.findall(w))]
+    last, get = len(words) - 1, _FUNCTION.get
     own, seen = 0, Counter()
     for i, w in enumerate(words):
-        if low[i] and 0 < i < len(words) - 1 and not low[i - 1] and not (low[i + 1] and (i + 2 >= len(words) or low[i + 2])):
+        small = w[0].islower()
+        if (languages := get(w if small else w.lower())) is None:
+            continue
+        if small and 0 < i < last and not words[i - 1][0].islower() and not (words[i + 1][0].islower() and (i + 2 > last or words[i + 2][0].islower())):
             continue
-        w = w.lower()
-        own += w in ENGLISH
-        for name, known in OTHERS.items():
-            if w in known:
+        for name in languages:
+            if name == "en":
+                own += 1
+            else:
                 seen[name] += 1
     if not own and not seen:  # no function word at all: the letters decide
         letters = [c for c in text if c.isalpha()]
@@ -64,16 +88,18 @@ def sentences(text: str) -> list[list[str]]:
     """Tokens of the sentences; headings, table rows, markup and quotations are left out unless the text
     holds nothing else. Names count as one word, so do numbers."""
     out: list[list[str]] = []
+    known = _SHAPES.get
     for keep_all in (False, True):
-        for block in _BLOCK.split(_TAG.sub(" ", text)):
+        for block in _BLOCK.split(_TAG.sub(" ", text).replace("_", " ")):
             if not keep_all:
                 if _HEAD.match(block) and not block.lstrip().startswith(("Q:", "[")):
                     block = block.partition("\n")[2]
                 block = _QUOTE.sub(" ", block)
             for s in _STOP.split(block):
                 ws = _TOKEN.findall(s)
-                if sum(w[0].isalnum() for w in ws) >= (1 if keep_all else 3):
-                    out.append(["#" if w.isdigit() else "N" if i and w[0].isupper() else w.lower() for i, w in enumerate(ws)])
+                if len(ws) - sum(map(ws.count, ".,;!?")) >= (1 if keep_all else 3):
+                    out.append([known(w) or _shape(w) for w in ws])
+                    out[-1][0] = "#" if ws[0].isdigit() else ws[0].lower()
         if out:
             break
     return out
@@ -88,12 +114,13 @@ class LevelModels:
     def _ids(self, sents: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Word ids of all sentences, each between two starts and an end, and the sentence of each word."""
         get, flat, owner = self.vocabulary.get, [], []
+        rare = lambda w: get(f"?{min(len(w) // 3, 5)}", 2)
         for k, s in enumerate(sents):
             flat += [0, 0]
-            flat += [get(w) or get(f"?{min(len(w) // 3, 5)}", 2) for w in s]
+            flat += [get(w) or rare(w) for w in s]
             flat.append(1)
-            owner += [k] * (len(s) + 3)
-        return np.array(flat, np.int64), np.array(owner, np.int64)
+            owner.append(len(s) + 3)
+        return np.array(flat, np.int64), np.repeat(np.arange(len(sents)), owner)
 
     def _keys(self, ids: np.ndarray) -> list[np.ndarray]:
         v = len(self.vocabulary) + 8
@@ -136,8 +163,10 @@ class LevelModels:
             seen, history = self._lookup(self.tables[order][0], k), self._lookup(self.tables[order][1], k // v)
             p = (p + seen) / (1 + history)
         cost, tokens = np.zeros((len(sents), self.levels)), np.zeros(len(sents))
-        np.add.at(cost, owner[real], -np.log(p))
-        np.add.at(tokens, owner[real], 1)
+        surprise, mine = -np.log(p), owner[real]
+        for level in range(self.levels):
+            cost[:, level] = np.bincount(mine, surprise[:, level], len(sents))
+        tokens += np.bincount(mine, minlength=len(sents))
         return cost / tokens[:, None]
 
     def difficulty(self, sents: list[list[str]]) -> float:
@@ -151,10 +180,13 @@ class LevelModels:
         expected = (p / p.sum(axis=1, keepdims=True)) @ np.arange(1, self.levels + 1)
         out = np.full(n, (1 + self.levels) / 2)
         order = np.lexsort((expected, document))
-        weights = np.sqrt(lengths)[order]
-        for d, part in pd.Series(order).groupby(document[order]):
-            w = weights[part.index]
-            out[d] = expected[part.to_numpy()[np.searchsorted(np.cumsum(w), w.sum() / 2)]]
+        sums = np.cumsum(np.sqrt(lengths)[order])
+        ends = np.cumsum(np.bincount(document, minlength=n))
+        before = np.concatenate([[0.0], sums])[np.concatenate([[0], ends[:-1]])]
+        some = np.diff(ends, prepend=0) > 0
+        half = (before + sums[np.maximum(ends - 1, 0)]) / 2 if len(sums) else before
+        at = np.clip(np.searchsorted(sums, half * (1 - 1e-12)), 0, np.maximum(ends - 1, 0))
+        out[some] = expected[order[at[some]]]
         return out
 
     def levels_of(self, texts: list[str]) -> np.ndarray:
