@@ -6,9 +6,11 @@ lattice of types, and compared with the file of the same feed delivered just bef
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.session import cut_lineage
@@ -40,14 +42,25 @@ def plain_name(field: Column) -> Column:
 
 
 def family(field: Column, families: Mapping[str, Sequence[str]] = FAMILIES) -> Column:
-    """The meaning of a field: its family, or its plain name."""
-    known = F.create_map(*[F.lit(x) for name, fields in families.items() for f in fields for x in (f, "=" + name)])
-    return F.coalesce(known[field], plain_name(field))
+    """The meaning of a field: the family that has its plain name, or its plain name (or what it is, if it has no letter
+    or digit). Spellings that differ in case, signs or a plural s have one meaning."""
+    named: dict[str, str] = {}
+    for name, fields in families.items():
+        for f in fields:
+            named.setdefault(_plain(f), name)
+    known = F.create_map(*[F.lit(x) for pair in named.items() for x in pair])
+    plain = plain_name(field)
+    return F.coalesce(known[plain], F.when(plain != "", plain), field)
+
+
+def _plain(field: str) -> str:
+    """As ``plain_name``, for the names of the families."""
+    return re.sub("(?<=..)s$", "", re.sub("[^A-Za-z0-9]", "", field).lower())
 
 
 def json_fields(rows: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     """(*keys, field, kind, value): the top-level fields of JSON objects; broken JSON has none. A field that
-    is null has kind null. The values stay variants: nothing leaves the JVM."""
+    is null has kind null. ``exact`` tells long from double. The values stay variants: nothing leaves the JVM."""
     spark = rows.sparkSession
     parsed = rows.select(*keys, F.try_parse_json(text).alias("v")).where("v is not null and schema_of_variant(v) like 'OBJECT%'")
     wide = parsed.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
@@ -60,7 +73,8 @@ def json_fields(rows: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
         .when(schema.startswith("OBJECT"), "object")
         .otherwise("number")
     )
-    return wide.select(*keys, F.col("key").alias("field"), kind.alias("kind"), "value")
+    exact = F.when(schema == "BIGINT", "long").otherwise("double")
+    return wide.select(*keys, F.col("key").alias("field"), kind.alias("kind"), F.when(kind == "number", exact).otherwise(kind).alias("exact"), "value")
 
 
 def layouts(raw: DataFrame, share: float = LAYOUT_SHARE) -> DataFrame:
@@ -109,44 +123,103 @@ def layout_changes(raw: DataFrame, families: Mapping[str, Sequence[str]] = FAMIL
     return changes.select("f.file_name", "c.change", F.coalesce("c.old", F.lit("")).alias("old_field"), F.coalesce("c.new", F.lit("")).alias("new_field"))
 
 
-#: The lattice: a field with one kind keeps it; anything else that meets is text.
-def promote(kinds: Column) -> Column:
-    """The least type above a set of kinds: number and boolean only above themselves, string above all;
-    arrays and objects are kept as JSON text."""
-    one = F.array_distinct(F.filter(kinds, lambda k: k != "null"))
-    return F.when(F.size(one) == 1, F.when(one[0] == "number", "double").when(one[0] == "boolean", "boolean").otherwise("string")).otherwise("string")
+#: The lattice of types: each with what is directly above it. Arrays, objects and whatever differs meet in text.
+ABOVE = {"null": "boolean long timestamp array object".split(), "long": ["double"], "double": ["string"], "boolean": ["string"], "timestamp": ["string"], "array": ["string"], "object": ["string"], "string": []}
+
+
+def promote(kinds: Sequence[str]) -> str:
+    """The least type of the lattice above all of ``kinds``; without any value the type is string."""
+
+    def above(kind: str) -> set[str]:
+        return {kind}.union(*[above(k) for k in ABOVE[kind]])
+
+    real = sorted(set(kinds) - {"null"})
+    shared = set.intersection(*[above(k) for k in real]) if real else {"string"}
+    least = next(k for k in sorted(shared) if shared <= above(k))
+    return "string" if least in ("array", "object") else least  # kept as JSON text
 
 
 def union_schema(raw: DataFrame, families: Mapping[str, Sequence[str]] = FAMILIES, max_fields: int = 500) -> list[tuple[str, str]]:
-    """(column, type) of the consistent table: each meaning with the least type above all kinds its fields
-    ever had, in any file. More than ``max_fields`` meanings are an error, not a cut."""
-    kinds = json_fields(raw, "record", ["file_name"]).groupBy(family(F.col("field"), families).alias("meaning")).agg(F.collect_set("kind").alias("kinds"))
-    rows = kinds.select("meaning", promote(F.col("kinds")).alias("type")).orderBy("meaning").limit(max_fields + 1).collect()
+    """(meaning, type) of the consistent table: each meaning with the least type above all kinds its fields
+    ever had, in any file. More than ``max_fields`` meanings, each of which is a column, are an error, not a cut."""
+    kinds = json_fields(raw, "record", ["file_name"]).groupBy(family(F.col("field"), families).alias("meaning")).agg(F.collect_set("exact").alias("kinds"))
+    rows = kinds.orderBy("meaning").limit(max_fields + 1).collect()
     if len(rows) > max_fields:
         raise ValueError(f"more than {max_fields} different fields")
-    return [(r["meaning"].lstrip("="), r["type"]) for r in rows]
+    return [(r["meaning"], promote(r["kinds"])) for r in rows]
 
 
-def consistent_table(raw: DataFrame, families: Mapping[str, Sequence[str]] = FAMILIES, keys: Sequence[str] = ("raw_id", "feed", "file_name", "line_no"), max_spellings: int = 5_000) -> DataFrame:
+def consistent_table(raw: DataFrame, families: Mapping[str, Sequence[str]] = FAMILIES, keys: Sequence[str] = ("raw_id", "feed", "file_name", "line_no")) -> DataFrame:
     """All readable records in the union schema: the keys, then one column for each meaning, named f_<meaning>.
 
     A value is cast to the column's type; arrays and objects are JSON text. Where a record has several fields
     of one meaning, the first that isn't null counts, in the order of the family, else
-    by name. Broken JSON has no row. More than ``max_spellings`` fields outside the families are an error, not a cut.
+    by name. However many spellings a meaning has, they are told in the row, none is listed. Broken JSON has no row.
     """
-    members = {name: list(fields) for name, fields in families.items()}
     schema = union_schema(raw, families)
-    known = {f for fields in families.values() for f in fields}
-    spelled = json_fields(raw, "record", ["file_name"]).where(~F.col("field").isin(*known)).groupBy("field").agg(F.first(plain_name(F.col("field"))).alias("m")).orderBy("field").limit(max_spellings + 1).collect()
-    if len(spelled) > max_spellings:
-        raise ValueError(f"more than {max_spellings} spellings of fields")
-    for r in spelled:
-        members.setdefault(r["m"], []).append(r["field"])
-    parsed = raw.withColumn("_v", F.try_parse_json("record")).where("_v is not null and schema_of_variant(_v) like 'OBJECT%'")
-
-    def value(field: str, kind: str) -> Column:
-        path = "$['" + field.replace("'", "\\'") + "']"
-        return F.try_variant_get("_v", F.lit(path), kind)
-
-    columns = [F.coalesce(*[value(f, kind) for f in members[name]]).alias("f_" + name) for name, kind in schema]
-    return parsed.select(*keys, *columns)
+    rank = F.create_map(*[F.lit(x) for fields in families.values() for i, f in enumerate(fields) for x in (f, i)])
+    read = raw.withColumn("_v", F.try_parse_json("record")).where("_v is not null and schema_of_variant(_v) like 'OBJECT%'")
+    fields = F.map_entries(F.try_variant_get("_v", F.lit("$"), "map<string,variant>"))
+    told = F.transform(fields, lambda f: F.struct(family(f["key"], families).alias("meaning"), F.coalesce(rank[f["key"]], F.lit(1_000)).alias("rank"), f["key"].alias("field"), f["value"].alias("value")))
+    by_rank = lambda x, y: F.when(x["rank"] != y["rank"], x["rank"] - y["rank"]).when(x["field"] < y["field"], -1).when(x["field"] > y["field"], 1).otherwise(0)
+    read = read.withColumn("_told", F.array_sort(told, by_rank))
+
+    def value(meaning: str, kind: str) -> Column:
+        mine = F.transform(F.filter("_told", lambda t: t["meaning"] == meaning), lambda t: F.try_variant_get(t["value"], F.lit("$"), kind))
+        return F.get(F.filter(mine, lambda x: x.isNotNull()), F.lit(0))
+
+    taken: set[str] = set()
+    columns = []
+    for meaning, kind in schema:
+        name = "f_" + meaning
+        while name.lower() in taken:  # meanings without letters may fall together for a reader that ignores case
+            name += "_"
+        taken.add(name.lower())
+        columns.append(value(meaning, kind).alias(name))
+    return read.select(*keys, *columns)
+
+
+# -- parquet files, by their footers ------------------------------------------------------------------------------
+
+
+def _kind(arrow: str) -> str:
+    """The type of the lattice of an Arrow type."""
+    for starts, kind in (("bool", "boolean"), (("int", "uint"), "long"), (("float", "double", "half", "decimal"), "double"), (("timestamp", "date"), "timestamp"), (("list", "large_list", "fixed"), "array"), (("struct", "map"), "object")):
+        if arrow.startswith(starts):
+            return kind
+    return "string"
+
+
+def file_schemas(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(file_name, place, field, kind) of parquet files, one row a field, in the order of ``paths``. The footers are read in parallel,
+    a task for some files; no data is."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.parquet as pq
+
+        for pdf in batches:
+            rows = [(p, n, f.name, _kind(str(f.type))) for p, n in zip(pdf["file_name"], pdf["place"]) for f in pq.read_schema(p.removeprefix("file:"))]
+            yield pd.DataFrame(rows, columns=["file_name", "place", "field", "kind"])
+
+    files = spark.createDataFrame([(p, i + 1) for i, p in enumerate(paths)], "file_name string, place int")
+    return files.repartition(max(1, min(len(paths), 1_000))).mapInPandas(read, "file_name string, place int, field string, kind string")
+
+
+def read_drifting(spark: SparkSession, paths: Sequence[str], families: Mapping[str, Sequence[str]] = FAMILIES, max_fields: int = 500) -> DataFrame:
+    """All rows of parquet files whose columns drift, with one column for each meaning. Files of equal columns
+    are one scan; a missing column is null; of several columns of one meaning the first by name that isn't null counts."""
+    heads = cut_lineage(file_schemas(spark, paths).withColumn("meaning", family(F.col("field"), families)))
+    kinds = heads.groupBy("meaning").agg(F.collect_set("kind").alias("kinds")).orderBy("meaning").limit(max_fields + 1).collect()
+    if len(kinds) > max_fields:
+        raise ValueError(f"more than {max_fields} different fields")
+    schema = [(r["meaning"], promote(r["kinds"])) for r in kinds]
+    layout = F.sort_array(F.collect_list(F.struct("meaning", "field", "kind"))).alias("layout")
+    groups = heads.groupBy("file_name").agg(layout).groupBy("layout").agg(F.collect_list("file_name").alias("files")).collect()
+    out = None
+    for g in groups:
+        scan = spark.read.parquet(*g["files"])
+        own = {m: [(x["field"], x["kind"]) for x in g["layout"] if x["meaning"] == m] for m, _ in schema}
+        cast = lambda f, k, to: F.to_json(F.col(f"`{f}`")) if k in ("array", "object") else F.col(f"`{f}`").cast(to)
+        part = scan.select(*[(F.coalesce(*[cast(f, k, to) for f, k in own[m]]) if own[m] else F.lit(None).cast(to)).alias("f_" + m) for m, to in schema])
+        out = part if out is None else out.unionByName(part)
+    return out
