@@ -120,12 +120,31 @@ def test_oversized_buckets_are_split_exactly(spark):
     common = "a" * 900
     rows = [(f"{common}{i % 37:03d}".encode(), i, 1, i) for i in range(300)] + [(f"b{i}".encode(), 1000 + i, 1, 1000 + i) for i in range(50)]
     reps = spark.createDataFrame(rows, "canon binary, rep long, copies long, low long")
-    for levels in (2, 60):
-        buckets = format_copies.radix_buckets(reps, 10, levels=levels).collect()
-        place = {}
+    for limit in (2_000, 10_000, 10**9):
+        buckets = format_copies.radix_buckets(reps, limit).collect()
+        place, size = {}, {}
         for r in buckets:
             place.setdefault(bytes(r["canon"]), set()).add(bytes(r["bucket"]))
+            size.setdefault(bytes(r["bucket"]), {}).setdefault(bytes(r["canon"]), []).append(len(r["canon"]))
         assert len(buckets) == 350 and all(len(v) == 1 for v in place.values())
+        # a bucket fits, or holds one text only
+        assert all(len(texts) == 1 or sum(map(sum, texts.values())) <= limit for texts in size.values())
+
+
+def test_repeated_ids_are_one_row_a_record(spark):
+    df = spark.createDataFrame([(1, "t", "A b")] * 2 + [(1, "t", "c d"), (2, "T", "a-b")], "passage_id long, title string, text string").repartition(3)
+    assert sorted(tuple(r) for r in format_copies.format_copies(df).collect()) == [(1, 1, 1), (1, 1, 3), (1, 1, 3), (2, 1, 3)]
+
+
+def test_a_task_folds_in_bounded_memory(spark, monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(format_copies, "FOLD_BYTES", 1_000)
+    rows = pd.DataFrame([(i, "t", f"text {i % 7}", None) for i in range(50)], columns=["id", "title", "text", "record"])
+    made = pd.concat(list(format_copies._fold_task(iter([rows[k : k + 5] for k in range(0, 50, 5)]))))
+    reps = made[made["canon"].notna()]
+    assert len(reps) > 7 and reps["rep"].is_unique and reps["copies"].sum() == 50
+    assert set(made[made["canon"].isna()]["rep"]) == set(reps["rep"])
 
 
 def test_trie_counts_prefixes_apart():

@@ -1,9 +1,9 @@
 """Duplicates hidden by formatting: records equal but for white space, case, punctuation or field order.
 
-Every record gets canonical bytes. The task that reads it folds its own copies together, so that only one
-representative of a text leaves a task. The representatives are split by recursive radix partitioning
-(buckets above the limit are split by further bytes until each fits), and every bucket is counted in a trie
-with terminal counters.
+Every record gets canonical bytes. The task that reads it folds copies it still holds together, so that few
+representatives of a text leave a task. The representatives are split by recursive radix partitioning
+(buckets of too many bytes are split by further bytes until each fits), and every bucket is counted in a trie
+with terminal counters. No limit depends on the size of the table.
 """
 
 from __future__ import annotations
@@ -13,14 +13,17 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.session import cut_lineage
 
-#: Canonical bytes that a level of the partitioning looks at, and levels before an oversized bucket is
-#: split by a hash of all its bytes instead (texts with a longer common start).
-STEP, LEVELS = 24, 16
+#: Canonical bytes that the first level of the partitioning looks at; each further level looks at twice as many.
+STEP = 24
+#: Canonical bytes of a bucket, beyond which it is split (a trie needs some fifteen times as much), and bytes of texts
+#: that a task holds to fold copies.
+BUCKET_BYTES, FOLD_BYTES = 8_000_000, 64_000_000
 #: Bytes between two nodes of a trie.
 STRIDE = 16
 
@@ -76,37 +79,51 @@ def _null(x: object) -> object:
 def _fold_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(id, rep, canon, copies, low): each record with the representative of its text in this task; canonical
     bytes, copies and the smallest id only on the representatives, which come after the task's records."""
+    columns = ["id", "rep", "canon", "copies", "low"]
     reps: dict[bytes, list[int]] = {}
+    context = TaskContext.get()
+    made, held = (context.partitionId() if context else 0) << 36, 0  # numbers of representatives differ between tasks
+
+    def folded() -> Iterator[pd.DataFrame]:
+        rows = [(None, r, key, n, low) for key, (r, n, low) in reps.items()]
+        for k in range(0, len(rows), 20_000):
+            yield pd.DataFrame(rows[k : k + 20_000], columns=columns).astype({"id": "Int64"})
+
     for pdf in batches:
         members = []
         for i, title, text, record in zip(pdf["id"], pdf["title"], pdf["text"], pdf["record"]):
             if (key := canonical_bytes(_null(title), _null(text), _null(record))) is None:
                 continue
-            mine = reps.setdefault(key, [i, 0, i])
+            if (mine := reps.get(key)) is None:
+                mine = reps[key] = [made, 0, i]
+                made += 1
+                held += len(key) + 200
             mine[1] += 1
             mine[2] = min(mine[2], i)
             members.append((i, mine[0], None, 0, 0))
-        yield pd.DataFrame(members, columns=["id", "rep", "canon", "copies", "low"])
-    rows = [(r, r, key, n, low) for key, (r, n, low) in reps.items()]
-    for k in range(0, len(rows), 20_000):
-        yield pd.DataFrame(rows[k : k + 20_000], columns=["id", "rep", "canon", "copies", "low"])
-
-
-def radix_buckets(reps: DataFrame, limit: int, step: int = STEP, levels: int = LEVELS) -> DataFrame:
-    """``reps`` with the column bucket: the shortest start of canon, in steps of ``step`` bytes, of which no
-    more than ``limit`` rows have the same one, or all bytes where they end before. Only the starts of
-    oversized buckets reach the driver: at most rows / limit a level."""
-    start = lambda k: F.substring("canon", 1, k * step)
-    options, live = [], reps
-    for level in range(1, levels + 1):
-        b = start(level)
-        big = [r["b"] for r in live.groupBy(b.alias("b")).count().where(F.col("count") > limit).where(F.length("b") == level * step).select("b").collect()]
-        if not big:
-            return reps.withColumn("bucket", F.coalesce(*options, b))
-        over = b.isin(big)  # whoever is oversized here was so at every level before
-        options.append(F.when(~over, b))
-        live = reps.where(over)
-    return reps.withColumn("bucket", F.coalesce(*options, F.md5("canon").cast("binary")))
+        yield pd.DataFrame(members, columns=columns)
+        if held > FOLD_BYTES:
+            yield from folded()
+            reps, held = {}, 0
+    yield from folded()
+
+
+def radix_buckets(reps: DataFrame, limit: int = BUCKET_BYTES, step: int = STEP) -> DataFrame:
+    """``reps`` with the column bucket: the shortest start of canon, of ``step`` bytes or two, four, eight times as many,
+    of which all rows hold no more than ``limit`` bytes, or all bytes where they end before. Oversized starts
+    stay a table; each level reads only what was oversized before."""
+    done, live, width = None, reps, step
+    while True:
+        start = F.substring("canon", 1, width)
+        live = live.withColumn("bucket", start)
+        sizes = live.groupBy("bucket").agg(F.sum(F.length("canon")).alias("bytes"))
+        big = cut_lineage(sizes.where((F.col("bytes") > limit) & (F.length("bucket") == width)).select("bucket"))
+        if big.isEmpty():
+            return live if done is None else done.unionByName(live)
+        fits = live.join(big, "bucket", "left_anti").select(*reps.columns, "bucket")
+        done = fits if done is None else done.unionByName(fits)
+        live = cut_lineage(live.join(big, "bucket", "left_semi").select(*reps.columns))
+        width *= 2
 
 
 def _count_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,7 +142,7 @@ def _count_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(done + [(r, end[0], end[1]) for r, end in held], columns=columns)
 
 
-def format_copies(rows: DataFrame, id_column: str = "passage_id", max_buckets: int = 4096) -> DataFrame:
+def format_copies(rows: DataFrame, id_column: str = "passage_id", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(id, keep, copies): every record with the smallest id of its set and the size of the set.
 
     Records are equal if title and text (or these fields inside the JSON of ``record``, where both are null)
@@ -137,8 +154,7 @@ def format_copies(rows: DataFrame, id_column: str = "passage_id", max_buckets: i
     wanted = rows.select(F.col(id_column).cast("long").alias("id"), F.col("title").cast("string").alias("title"), F.col("text").cast("string").alias("text"), record.alias("record"))
     folded = cut_lineage(wanted.where("id is not null").mapInPandas(_fold_task, "id long, rep long, canon binary, copies long, low long"))
     reps = folded.where("canon is not null").select("canon", "rep", "copies", "low")
-    limit = max(20_000, reps.count() // max_buckets + 1)
-    buckets = radix_buckets(reps, limit).repartition(F.col("bucket")).sortWithinPartitions("bucket")
+    buckets = radix_buckets(reps, bucket_bytes).repartition(F.col("bucket")).sortWithinPartitions("bucket")
     kept = buckets.mapInPandas(_count_task, "rep long, keep long, total long")
     # a representative stands for the copies of one task at most, so this join has no hot key
     members = folded.where("canon is null").select("id", "rep")
