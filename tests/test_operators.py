@@ -69,9 +69,16 @@ def test_hash_split_counts(spark):
     df = spark.range(1000).select(F.col("id").cast("string").alias("k"))
     for fraction, n in ((0.05, 50), (0.0, 0), (1.0, 999), (0.0025, 2)):
         assert selection.hash_split(df, "k", fraction).where("is_val").count() == n
+    assert selection.hash_split(df, "k", 0.05, most=3).where("is_val").exceptAll(selection.hash_split(df, "k", 0.05).where("is_val")).count() == 0
     assert selection.hash_split(df.limit(0), "k", 0.5).count() == 0
 
 
+def test_hash_split_keeps_the_rows_of_a_key_together(spark):
+    df = spark.range(300).select((F.col("id") % 40).cast("string").alias("k")).unionByName(spark.sql("select cast(null as string) as k"))
+    sides = selection.hash_split(df, "k", 0.3).groupBy("k").agg(F.collect_set("is_val").alias("s"), F.count("*").alias("n")).collect()
+    assert sum(r["s"] == [True] for r in sides) == 12 and all(len(r["s"]) == 1 for r in sides) and sum(r["n"] for r in sides) == 301
+
+
 def test_stage_caps(spark):
     df = spark.createDataFrame([("search", i) for i in range(5)] + [("answer", i) for i in range(4)] + [(None, 9)], "stage string, i int")
     assert selection.stage_caps(df, {"answer": 1}, ["i"]).count() == 7

@@ -94,24 +94,27 @@ def stage_caps(rows: DataFrame, caps: dict[str, int], order: Sequence[str], stag
     return rows.where(~F.coalesce(F.col(stage).isin(*caps), F.lit(False))).unionByName(first)
 
 
-def hash_split(rows: DataFrame, key: str, fraction: float, seed: int = 0) -> DataFrame:
-    """``rows`` with is_val: rint(n * fraction) of the n rows (fewer than all), those first by md5(seed, key).
+def hash_split(rows: DataFrame, key: str, fraction: float, seed: int = 0, most: int = 100_000) -> DataFrame:
+    """``rows`` with is_val: rint(n * fraction) of the n distinct keys (fewer than all), those first by md5(seed, key);
+    all rows of a key are on one side, null keys in none of the counts and never in validation.
 
-    The driver counts hash prefixes (at most 4096 rows); only the prefix at the border is ranked.
+    The driver counts starts of the hash (4096 a round) and goes on below the start at the border, three more digits a
+    round, until at most ``most`` keys share it; only those are ranked.
     """
     digest = rows.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
-    digest = cut_lineage(digest.withColumn("_p", F.substring("_h", 1, 3)))
-    counts = sorted((r["_p"], r["count"]) for r in digest.groupBy("_p").count().collect())
-    n = sum(c for _, c in counts)
-    left = min(max(n - 1, 0), round(n * fraction))
-    border = ""
-    for p, c in counts:
-        border = p
-        if c > left:
-            break
-        left -= c
-    else:
-        border = "~"
-    inner = digest.where(F.col("_p") == border).withColumn("is_val", F.row_number().over(Window.orderBy("_h", key)) <= left)
-    outer = digest.where(F.col("_p") != border).withColumn("is_val", F.col("_p") < border)
-    return outer.unionByName(inner).drop("_h", "_p")
+    keys = cut_lineage(digest.where("_h is not null").select("_h", F.col(key).cast("string").alias("_k")).distinct())
+    count = keys.count()
+    left = min(max(count - 1, 0), round(count * fraction))
+    border, inside = "", count
+    while inside > most and len(border) < 32:
+        at = F.substring("_h", 1, len(border) + 3)
+        counts = sorted((r["p"], r["count"]) for r in keys.where(F.col("_h").startswith(border)).groupBy(at.alias("p")).count().collect())
+        for border, inside in counts:
+            if inside > left:
+                break
+            left -= inside
+    ranked = keys.where(F.col("_h").startswith(border)).orderBy("_h", "_k").limit(left + 1).collect()
+    # the first key that isn't in validation; all before it are
+    end = (ranked[left]["_h"], ranked[left]["_k"]) if len(ranked) > left else ("~", "")
+    before = (F.col("_h") < end[0]) | ((F.col("_h") == end[0]) & (F.col(key).cast("string") < end[1]))
+    return digest.withColumn("is_val", F.coalesce(before, F.lit(False))).drop("_h")
