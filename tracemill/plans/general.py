@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.operators import edges, ingest, shred, validation
+from tracemill.plans import nestedsql
 from tracemill.session import table
 from tracemill.sources import drift
 
@@ -95,10 +96,15 @@ def reject_reason_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mock_validation(spark: SparkSession, d: str) -> DataFrame:
-    """Generated rows against the ladder: tasks, mock rows, validation."""
+    """Generated rows against the ladder: tasks, mock rows (five of six damaged, each in its way), validation."""
     made = edges.mock_rows(edges.tasks(spark, 1_000, ["river locks", "glass lenses", "salt trade"]))
+    way = F.substring("id", 5, 6).cast("int") % 6
     facts = F.transform("supporting_facts", lambda x: F.struct(x["title"].alias("title"), x["sent_id"].alias("sent")))
-    rows = made.select(F.col("id").alias("row_id"), "question", F.array("answer").alias("answers"), F.col("context").alias("entries"), facts.alias("facts"))
+    question = F.when(way == 1, "  ").when(way == 4, F.concat_ws(" ", "question", "answer")).when(way == 5, F.concat("question", F.lit(" ¿"))).otherwise(F.col("question"))
+    rows = made.select(
+        F.col("id").alias("row_id"), question.alias("question"), F.array(F.when(way == 2, " ").otherwise(F.col("answer"))).alias("answers"),
+        F.col("context").alias("entries"), F.when(way == 3, F.array_repeat(facts[0], 2)).otherwise(facts).alias("facts"),
+    )
     return validation.validate(rows).groupBy(F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -118,7 +124,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "mock_validation": "SELECT 'valid' AS reason, CAST(1000 AS BIGINT) AS n",
+        "mock_validation": nestedsql.MOCK_VALIDATION,
+        "p5_found": nestedsql.P5_FOUND,
+        "p7_found": nestedsql.P7_FOUND,
+        "generated_actions": nestedsql.GENERATED_ACTIONS,
         "p5_corpus": """
             SELECT DISTINCT id, CAST(i - 1 AS BIGINT) AS child_no, corpus[i].doc_id AS doc_id, corpus[i].title AS title, corpus[i].text AS text
             FROM (SELECT id, corpus, unnest(range(1, len(corpus) + 1)) AS i FROM qa_examples WHERE id IS NOT NULL)
