@@ -127,6 +127,10 @@ def oracle_sql() -> dict[str, str]:
         "mock_validation": nestedsql.MOCK_VALIDATION,
         "p5_found": nestedsql.P5_FOUND,
         "p7_found": nestedsql.P7_FOUND,
+        "validate_rows": nestedsql.VALIDATE_ROWS,
+        "reject_reason_counts": nestedsql.REJECT_REASON_COUNTS,
+        "qa_ingest_passages": nestedsql.QA_INGEST_PASSAGES,
+        "qa_ingest_examples": nestedsql.QA_INGEST_EXAMPLES,
         "generated_actions": nestedsql.GENERATED_ACTIONS,
         "p5_corpus": """
             SELECT DISTINCT id, CAST(i - 1 AS BIGINT) AS child_no, corpus[i].doc_id AS doc_id, corpus[i].title AS title, corpus[i].text AS text
