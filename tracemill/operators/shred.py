@@ -122,6 +122,9 @@ def parent_child(adjacency: DataFrame, field: str, columns: Sequence[str]) -> Da
     holds the object and ``ordinal`` its place there. Nulls in the place of objects have no row.
     """
     path = _at(field, r"(?:\[\d+\])?")
+    # what can't lie under the path is left out before any pattern is matched
+    head = "$." + field.partition("[]")[0]
+    adjacency = adjacency.where(F.col("node").startswith(head))
     own = adjacency.withColumn("owner", F.when((F.col("kind") == "object") & F.regexp_like("node", path), F.col("node")).otherwise(F.col("parent")))
     itself = F.col("owner") == F.col("node")
     pick = {c: F.max(F.when(~itself & (F.col("label") == c), F.col("scalar"))) for c in columns}
@@ -139,17 +142,14 @@ def child_values(adjacency: DataFrame, field: str) -> DataFrame:
 # -- references that resolve inside their own record ---------------------------------------------------------
 
 
-def _refs_and_targets(rows: DataFrame, tab: str, record: str, refs: Column, targets: Column) -> DataFrame:
-    """Adjacency of two arrays of scalars: what refers, and what it may refer to."""
-    wide = rows.select(F.col(record).alias("record"), refs.alias("refs"), targets.alias("targets"))
-    return shred_columns(wide, "record", ["refs", "targets"]).withColumn("tab", F.lit(tab))
-
-
-def _scalar_entities(adjacency: DataFrame) -> tuple[DataFrame, DataFrame]:
-    leaf = adjacency.where("kind = 'scalar'")
-    refs = leaf.where("parent = '$.refs'").select("tab", "record", F.col("ordinal").alias("ref_no"), F.col("scalar").alias("name"), F.lit(0).alias("sub_no"))
-    targets = leaf.where("parent = '$.targets'").select("tab", "record", F.col("ordinal").alias("child_no"), F.col("scalar").alias("name"), F.lit(1).alias("parts"))
-    return refs, targets
+def _named(adjacency: DataFrame, tab: str, refs: str, targets: str) -> tuple[DataFrame, DataFrame]:
+    """(references, targets) of a table: the values of the list ``refs``, and the objects of the list ``targets``,
+    each pivoted from its node and its scalar children, by their doc_id."""
+    tab_name = F.lit(tab).alias("tab")
+    listed = adjacency.where((F.col("parent") == f"$.{refs}") & (F.col("kind") == "scalar"))
+    own = listed.select(tab_name, "record", F.col("ordinal").alias("ref_no"), F.col("scalar").alias("name"), F.lit(0).alias("sub_no"))
+    objects = parent_child(adjacency, targets, ["doc_id"]).where("doc_id is not null")
+    return own, objects.select(tab_name, "record", F.col("ordinal").alias("child_no"), F.col("doc_id").alias("name"), F.lit(1).alias("parts"))
 
 
 def _owned(adjacency: DataFrame) -> tuple[DataFrame, Column, Column, Column]:
@@ -241,9 +241,14 @@ def resolved_references(qa: DataFrame, rollouts: DataFrame, raw: DataFrame) -> D
     Positions count from 0. A reference that fits several targets has a row for each; null names refer to
     nothing; repeated deliveries of a record give its rows once; broken JSON has none.
     """
-    one = _refs_and_targets(qa, "qa_examples", "id", F.col("gold_doc_ids"), F.col("corpus.doc_id"))
-    two = _refs_and_targets(rollouts, "rollouts_for_grpo", "rollout_id", F.col("metadata.gold_doc_ids"), F.col("metadata.candidate_passages.doc_id"))
-    refs, targets = _scalar_entities(one.unionByName(two))
+    # of the passages only the field that is referred to is read and shredded
+    bare = lambda passages: F.transform(passages, lambda p: F.struct(p["doc_id"].alias("doc_id")))
+    one = shred_columns(qa.select("id", "gold_doc_ids", bare(F.col("corpus")).alias("corpus")), "id", ["gold_doc_ids", "corpus"])
+    meta = F.struct(F.col("metadata.gold_doc_ids").alias("gold_doc_ids"), bare(F.col("metadata.candidate_passages")).alias("candidate_passages"))
+    two = shred_columns(rollouts.select("rollout_id", meta.alias("metadata")), "rollout_id", ["metadata"])
+    refs, targets = _named(one, "qa_examples", "gold_doc_ids", "corpus")
+    more = _named(two, "rollouts_for_grpo", "metadata.gold_doc_ids", "metadata.candidate_passages")
+    refs, targets = refs.unionByName(more[0]), targets.unionByName(more[1])
     three = shred_json(raw, "raw_id", "record", ["context", "supporting_facts"]).withColumn("tab", F.lit("raw_records"))
     facts, contexts = context_entities(three)
     refs, targets = refs.unionByName(facts), targets.unionByName(contexts)
