@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 SMALL = os.environ.get("TRACEMILL_SMALL", "/root/testdata/sf0.001")
 TABLES = "events documents embeddings passages qa_examples transitions episode_traces rollouts_for_grpo raw_records eval_items level_labels".split()
-FEW = ("lexical_topk", "retrieval_eval", "preference_pairs", "env_summary", "p5_corpus", "log_metrics", "candidate_pool", "parse_agent_action")
+FEW = ("lexical_topk", "retrieval_eval", "preference_pairs", "env_summary", "p5_corpus", "p5_found", "p7_found", "validate_rows", "qa_ingest_examples", "log_metrics", "candidate_pool", "parse_agent_action")
 
 
 def test_every_sql_has_its_query():

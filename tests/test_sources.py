@@ -162,6 +162,15 @@ def test_consistent_table(spark):
     assert made.count() == 13 and {r["f_record_id"] for r in made.collect()} == {"1", "7", None}
 
 
+def test_reports_have_one_row_and_stay_under_their_roots(spark, tmp_path):
+    with pytest.raises(ValueError, match="one row"):
+        files.write_report(spark.range(2), str(tmp_path / "r"))
+    with pytest.raises(ValueError, match="outside"):
+        files.write_report(spark.range(1), str(tmp_path / "r"), [str(tmp_path / "other")])
+    files.write_report(spark.range(1), str(tmp_path / "r"), [str(tmp_path)])
+    assert spark.read.json(str(tmp_path / "r")).collect()[0]["id"] == 0
+
+
 def raw_records(spark, *files):
     rows = [(i, "f", f"f/{n}", i, json.dumps(r), f"2030-01-{n + 1:02d} 00:00:00") for n, records in enumerate(files) for i, r in enumerate(records)]
     return spark.createDataFrame(rows, "raw_id int, feed string, file_name string, line_no int, record string, at string").withColumn("delivered_at", F.col("at").cast("timestamp"))

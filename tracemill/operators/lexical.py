@@ -56,15 +56,3 @@ def rank(queries: DataFrame, corpus: DataFrame, k: int, query_key: str, query: C
 def rank_reward(r: Column) -> Column:
     """1 for the first place, 0.8 to the third, 0.5 to the eighth, 0 beyond."""
     return F.when(r <= 1, 1.0).when(r <= 3, 0.8).when(r <= 8, 0.5).otherwise(0.0)
-
-
-def rotation(pool: DataFrame, rows: DataFrame, row_key: str, count: int, pos: str = "pos") -> DataFrame:
-    """Deterministic distractors: ``rows`` (row_key) x ``pool`` (pos dense from 0, n rows, checked by the caller
-    to be small or keyed): those ``count`` places from the sum of the key's code points, going round."""
-    n = pool.agg(F.count("*").alias("n"))
-    start = F.aggregate(F.transform(F.split(F.col(row_key), ""), lambda c: F.ascii(c)), F.lit(0), lambda a, x: a + x)
-    starts = rows.select(row_key, start.alias("s")).crossJoin(F.broadcast(n)).where("n > 0")
-    # each row asks for exactly min(count, n) places: a lookup by place, not a product
-    places = starts.select(row_key, F.explode(F.sequence(F.lit(0), F.least(F.lit(count), F.col("n").cast("int")) - 1)).alias("i"), "s", "n")
-    wanted = places.select(row_key, "i", F.pmod(F.col("s") + F.col("i"), F.col("n")).alias(pos))
-    return wanted.join(pool, pos)

@@ -63,22 +63,28 @@ def first_wins(passages: DataFrame, pos: str = "pos") -> DataFrame:
     return passages.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct("title", "text"), pos).alias("p"), F.min(pos).alias(pos)).select("doc_id", "p.title", "p.text", pos)
 
 
-def write_lines(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """JSON lines, one file a task; null fields are kept."""
+def write_lines(rows: DataFrame, path: str, mode: str = "errorifexists", roots: Sequence[str] | None = None) -> None:
+    """JSON lines, one file a task; null fields are kept. Where ``roots`` are given, the path must lie under one."""
+    if roots is not None:
+        check_root(path, roots)
     rows.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def append_lines(rows: DataFrame, path: str) -> None:
-    write_lines(rows, path, "append")
+def append_lines(rows: DataFrame, path: str, roots: Sequence[str] | None = None) -> None:
+    write_lines(rows, path, "append", roots)
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    """A summary of one row as one JSON document."""
-    write_lines(report.limit(1).coalesce(1), path, "overwrite")
+def write_report(report: DataFrame, path: str, roots: Sequence[str] | None = None) -> None:
+    """A summary of one row as one JSON document; more rows are an error."""
+    if len(report.take(2)) > 1:
+        raise ValueError("a report has one row")
+    write_lines(report.coalesce(1), path, "overwrite", roots)
 
 
-def write_parquet(rows: DataFrame, path: str) -> bool:
+def write_parquet(rows: DataFrame, path: str, roots: Sequence[str] | None = None) -> bool:
     """Parquet, unless there are no rows: then nothing is written and the answer is False."""
+    if roots is not None:
+        check_root(path, roots)
     if rows.isEmpty():
         return False
     rows.write.mode("overwrite").parquet(path)
