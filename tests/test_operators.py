@@ -3,6 +3,8 @@ import math
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +36,47 @@ def test_rank_against_brute_force(spark):
     assert {(r["pool"], r["q"], r["pos"], r["rank"]) for r in got} == want
 
 
+def test_rank_over_one_corpus_in_many_blocks(spark):
+    """Common words, copies (ties go to the smaller position), titles alone, nulls and a repeated query."""
+    rng = random.Random(3)
+    rare = [f"r{i}" for i in range(60)]
+    line = lambda: " ".join(rng.choices(["the", "of", "falls", rng.choice(rare)], [6, 4, 2, 2], k=rng.randrange(1, 12)))
+    docs = list(enumerate([line() for _ in range(300)] * 3 + ["the falls", "the", "", None, "?!"]))
+    rng.shuffle(docs)
+    asked = [(i, " ".join(rng.choices(rare + ["the", "of", "falls", "none"] * 9, k=rng.randrange(1, 6)))) for i in range(40)] + [(90, "the falls"), (91, "falls the"), (92, "the the falls"), (93, "none"), (94, ""), (95, None)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        got = lexical.rank(spark.createDataFrame(asked, "q int, t string"), spark.createDataFrame(docs, "pos int, t string"), 5, "q", F.col("t"), "pos", F.col("t")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    own = [(i, re.findall("[a-z0-9]+", d or "")) for i, d in docs]
+    df = {w: sum(w in d for _, d in own) for w in [*rare, "the", "of", "falls", "none"]}
+    want = set()
+    for q, t in asked:
+        scores = sorted((-round(sum((math.log((len(own) + 1) / (df[w] + 1)) + 1) * d.count(w) / len(d) for w in (t or "").split()), 6), i) for i, d in own if d)
+        want |= {(q, i, r, -s) for r, (s, i) in enumerate(scores[:5], 1) if s < 0}
+    assert {(r["q"], r["pos"], r["rank"], r["score"]) for r in got} == want
+
+
+def test_rank_scores_few_of_the_documents_that_share_a_word():
+    """A word of every document makes no pairs of all queries with all documents, and none of the k best is passed over."""
+    rng = random.Random(4)
+    names = [f"n{i}" for i in range(1000)]
+    docs = [["the", *rng.sample(names, 3), *["x"] * rng.randrange(5, 15)] for _ in range(5000)]
+    bags = sorted({" ".join(sorted(["the", *rng.sample(names, 2)])) for _ in range(50)})
+    terms = sorted({t for bag in bags for t in bag.split(" ")})
+    block = lexical.Block(pa.array(docs), pa.array(terms))
+    df = np.array([sum(t in d for d in docs) for t in terms])
+    kth = np.array([sorted((d.count(t) / len(d) for d in docs if t in d), reverse=True)[:5][-1] for t in terms])
+    asked = lexical.Asked(bags, terms, np.log((len(docs) + 1.0) / (df + 1.0)) + 1.0, df, kth, 5)
+    query, document = asked.candidates(block, asked.bound)
+    assert len(query) < len(bags) * len(docs) / 50
+    every = asked.scores(block, np.repeat(np.arange(len(bags)), len(docs)), np.tile(np.arange(len(docs)), len(bags))).reshape(len(bags), len(docs))
+    few = np.zeros_like(every)
+    few[query, document] = asked.scores(block, query, document)
+    assert np.array_equal(np.sort(few, axis=1)[:, -5:], np.sort(every, axis=1)[:, -5:])
+
+
 def test_pairs_against_all_pairs(spark):
     rng = random.Random(2)
     rows = [(g, i, round(rng.choice([0.0, 0.25, 0.5, 0.75, 1.0]), 2)) for g in range(6) for i in range(rng.randrange(1, 12))]
