@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -134,6 +135,81 @@ def test_a_crowded_name_is_split_by_further_words(spark):
     assert pairs_of(spark, rows) == {(f"e{i}", f"t{i}") for i in range(300)}
 
 
+def test_no_pair_that_is_the_same_question_is_left_out(spark):
+    """Names told by capitals alone or written small, several slips without names, lead-ins: all pairs are compared."""
+    rows = [
+        ("a1", "Who painted the Great Wall before the storm reached Harbour Street?", "train"),
+        ("b1", "Who painted the Great Wall before the gale reached Harbour Street?", "test"),
+        ("f1", "was a great wall built in the street by the harbour", "none"),
+        ("f2", "Is a great wall in every street or harbour", "train"),
+        ("a2", "Where did polish traders from Oslo meet Anna Berg in Turkey?", "train"),
+        ("b2", "Where did traders from Oslo meet Anna Berg in Turkey?", "test"),
+        ("f3", "Who speaks Polish, and where is Polish taught?", "train"),
+        ("f4", "Is the Polish language old?", "train"),
+        ("a3", "what is the capital of the largest country", "train"),
+        ("b3", "what is the captial of the largest country", "test"),
+        ("b4", "what is teh capital of the largest country", "test"),
+        ("b5", "i wonder what is the capital of the largest country", "test"),
+        ("b6", "Quick one: the capital of the largest country", "test"),
+        ("a4", "was it there", "train"),
+        ("b7", "is it there", "test"),
+        ("a5", "Where did Oslo keep the lantern harvest meadow copper violin orchard?", "train"),
+        ("b8", "Where did Oslo keep a lantern, harvest meadow copper violin orchard now?", "test"),
+        ("b9", "Where did Oslo keep the harvest meadow copper violin orchard?", "test"),
+        *((f"g{i}", f"Which Lantern Harvest Meadow Copper Violin Orchard in {i} is it?", "train") for i in range(5)),
+    ]
+    rng = random.Random(6)
+    words = "river castle novel teacher garden Anna Berg Oslo Wall Great Turkey Polish street march May 1790 the of".split()
+    for i in range(120):
+        q = rng.sample(words, rng.randrange(2, 8))
+        for n in range(2):
+            p = list(q)
+            for _ in range(rng.randrange(3)):
+                j = rng.randrange(len(p))
+                w = p[j]
+                c = rng.randrange(len(w))
+                p[j] = rng.choice([w[:c] + w[c + 1 :], w[:c] + w[c] + w[c:], w.lower(), w.capitalize(), rng.choice(words)])
+            lead = rng.choice(["", "", "please say now ", "well, ", "I wonder "])
+            text = lead + "Which " + " ".join(w for w in p if w)
+            rows.append((f"r{i}.{n}", rng.choice([str, str, str.lower, str.upper])(text + rng.choice(["?", "", ", please"])), ("train", "test")[n]))
+    norm = lambda q: re.sub(r"[\W_]+", " ", q.lower()).strip()
+    asked = {}
+    for _, q, split in rows:
+        if split != "none":
+            asked[norm(q)] = min(asked.get(norm(q), (True, "~")), (split_overlap.one_case(q), q))
+    told = {}
+    for _, q in asked.values():
+        for w, r in split_overlap.Form(q, lambda w: None).role.items():
+            told[w] = told.get(w, 0) + {"ordinary": 1, "name": -1}.get(r, 0)
+            told.setdefault((w, "told"), False)
+            told[w, "told"] |= r in ("ordinary", "name")
+    form = {n: split_overlap.Form(q, lambda w: told[w] > 0 if told.get((w, "told")) else None) for n, (_, q) in asked.items()}
+    want = {
+        (min(x, y), max(x, y))
+        for x, p, s in rows
+        for y, q, t in rows
+        if s == "train" and t == "test" and (norm(p) == norm(q) or split_overlap.same_question(form[norm(p)], form[norm(q)]))
+    }
+    assert {("a1", "b1"), ("a2", "b2"), ("a3", "b3"), ("a3", "b4"), ("a3", "b5"), ("a4", "b7")} <= want
+    got = pairs_of(spark, [(i, q, s, "s") for i, q, s in rows])
+    assert got == want
+
+
+def test_pairs_of_crowded_segments_are_not_left_out(spark, monkeypatch):
+    """With further words demanded of every segment, questions with lead-ins, slips and edits still meet."""
+    monkeypatch.setattr(split_overlap, "CROWDED", 0)
+    rows = [
+        ("a1", "Who taught the famous painter of the large mural about Anna Berg?", "train", "s"),
+        ("b1", "Well now, who taught the famos paintr of the large murall about Anna Berg?", "test", "s"),
+        ("b2", "Who taught the painter of the mural about Anna Berg?", "test", "s"),
+        ("b3", "Who about Anna Berg?", "test", "s"),
+        ("a2", "Who met Anna Berg?", "train", "s"),
+        ("b4", "Who saw Anna Berg?", "test", "s"),
+        ("b5", "Who met Anna Berg, please?", "test", "s"),
+    ]
+    assert pairs_of(spark, rows) >= {("a1", "b1"), ("a1", "b2"), ("a2", "b5")}
+
+
 # -- tokenizer --------------------------------------------------------------------------------------------------
 
 

@@ -1,12 +1,13 @@
 """Same or near-same questions across splits.
 
-Questions equal but for case, spacing and punctuation are one form. The string of a form that is joined holds its
-numbers, its names and its other content words, the latter from rare to common in one order for the whole table. Its
-first segment, numbers and names, must be found in the training string with at most one name missing; where that
-segment is crowded, further segments of one word are demanded, which stand among the first k + j words of both strings
-where at most k were edited. What meets is verified by banded dynamic programming: over the letters of words for slips
-of the pen, over the words of both questions for their order. Segments cut by length alone would be shared by all
-questions of one pattern ("who taught the").
+Questions equal but for case, spacing and punctuation are one form. Candidates are found by keys of which any two forms
+that ``same_question`` accepts share at least one; it alone decides. The first segment of a key holds the numbers and the
+names of a form, which both questions must have. Forms with less than two of them meet by the words that their own
+capitals show to be names, or by all content words but for slips of the pen. Where a key is crowded, words are demanded
+besides that stand among the first k + j words of both, from rare to common in one order, where k bounds the words that
+may be edited, misspelt or added at the ends. What meets is verified by banded dynamic programming: over the letters of
+words for slips of the pen, over the words of both questions for their order. Segments cut by length alone would be
+shared by all questions of one pattern ("who taught the").
 """
 
 from __future__ import annotations
@@ -24,8 +25,12 @@ from pyspark.sql import functions as F
 
 from tracemill.session import cut_lineage
 
-#: Of n content words at most two fifths, and never more than MOST, may be edited.
+#: Half the band, in words, in which the order of two questions is compared.
 MOST = 8
+#: Of names that a question itself writes small, more than so many don't go into segments.
+DOUBTFUL = 4
+#: Forms of more content words than this seek names by single words instead of pairs.
+LONG = 40
 #: Words whose rank in the order of words is broadcast; rarer words go before them by their letters. Any number gives
 #: the same pairs, since every order of words does.
 RANKED = 10_000
@@ -48,8 +53,8 @@ EMPTY = frozenset(
 
 
 def budget(n: int) -> int:
-    """Content words of n that may be edited."""
-    return min((2 * n + 2) // 5, MOST)
+    """Content words of n that may be edited or misspelt."""
+    return max(1, (2 * n + 2) // 5)
 
 
 def one_slip(a: str, b: str) -> bool:
@@ -76,6 +81,10 @@ def less_one(w: str) -> set[str]:
     return {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}
 
 
+#: Keys of the words that stand a slip away from words without content.
+ALMOST_EMPTY = frozenset(k for w in {*EMPTY, *ASKING} if len(w) >= 3 for k in less_one(w))
+
+
 def one_case(question: str) -> bool:
     return question.upper() == question or question.lower() == question
 
@@ -130,44 +139,99 @@ class Form:
         return r if r in ("name", "ordinary") else None
 
 
-def cores(question: str) -> set[str]:
-    """The question, and what is left of it without what stands before its first word that asks (but for a
-    preposition) and after its last sign between words: where lead-ins and appendices are."""
-    out = {question}
-    asks = next((m for m in _WORD.finditer(question) if m[0].lower() in ASKING), None)
-    if asks is not None:
-        before = question[: asks.start()].rstrip()
-        out.add(question[asks.start() :] if before[-1:] in _SIGNS else before.split()[-1] + " " + question[asks.start() :])
-    for q in list(out):
-        cut = max(q.rstrip(" \t\n.?!\"'”»").rfind(c) for c in _SIGNS)
-        if cut > 0:
-            out.add(q[:cut])
-    return out
-
-
-def join_keys(form: Form, question: str, order, words: int) -> list[int]:
-    """The segments of a form, hashed.
-
-    Numbers and names hold a question together. Where there are two or more of them, they are the first segment,
-    with every name or all but one; of a crowded segment (``words`` > 0) only the parts count that also agree in
-    ``words`` of the first k + ``words`` ordinary words from rare to common, of which k may be edited. Questions
-    with less than two names and numbers agree in all content words, one of them but for a slip.
+def leads(form: Form) -> list[tuple[int, int]]:
+    """(first, last) of what may be left of a form's words without a lead-in and an appendix, whatever the other
+    question is: ``_without_lead`` takes no others away."""
+    words, out = form.all, []
+    for step in (1, -1):
+        sizes = [0]
+        for n in range(1, min(4, len(words)) + 1):
+            w = words[n - 1] if step == 1 else words[-n]
+            if w in ASKING or form.role[w] in ("name", "number"):
+                break
+            if (n if step == 1 else len(words) - n) in form.parted or step == 1 and n > 1:
+                sizes.append(n)
+        out.append(sizes)
+    return [(i, max(i, len(words) - j)) for i in out[0] for j in out[1]]
+
+
+def _further(form: Form, names: set[str], order, words: int) -> list[str]:
+    """The words demanded besides the first segment of a crowded key.
+
+    At most k words of a question have no equal in the other one, edited, misspelt or in a lead-in, but for those a slip
+    away from words without content: so the ``words`` first that two questions share stand among the first
+    k + ``words`` of both. Questions that may share less meet by as many as they share."""
+    if not words:
+        return [""]
+    rest = sorted((w for w in form.content - names if len(w) < 3 or not less_one(w) & ALMOST_EMPTY), key=order)
+    k = budget(sum(form.role[w] != "empty" for w in form.all)) + max(len(form.all) - (j - i) for i, j in leads(form))
+    sure = max(0, len(rest) - k)
+    return [f"{n}:" + " ".join(c) for n in range(min(sure, words), words + 1) for c in combinations(rest[: k + n], n)]
+
+
+def _heads(form: Form, names: set[str]) -> tuple[list[str], bool]:
+    """(first segments of two or more numbers and names, whether there may be less). ``names`` are those that other
+    questions tell; both questions have them but for those that one of them writes small."""
+    doubtful = [w for w in names if form.role[w] == "ordinary"]
+    sets = [sorted(names.difference(x)) for n in range(len(doubtful) + 1) for x in combinations(doubtful, n)]
+    enough = [" ".join([*form.numbers, "|", *x]) for x in sets if len(form.numbers) + len(x) >= 2]
+    return enough, len(enough) < len(sets)
+
+
+def join_keys(form: Form, question: str, order, words: int, near: dict | None = None, vague: frozenset = frozenset()) -> list[int]:
+    """The segments of a form, hashed; two forms that are the same question share one of them or of ``name_keys``.
+
+    ``near`` has the content words that stand a slip away from others, with the keys that they share with these, after
+    "~" where a word without content is among them; ``vague`` are names left out of segments. With two or more numbers and
+    names these are the first segment, in a crowded one (``words`` > 0) with further words. With less, where nothing is
+    edited, all content words are equal, but for one with a neighbour, which has a key in common.
     """
-    names, rest = sorted(form.names), sorted(form.content - form.names, key=order)
-    out = set()
-    if len(names) + len(form.numbers) >= 2:
-        heads = {" ".join(form.numbers + ["|"] + names[:i] + names[i + 1 :]) for i in range(len(names) + (len(names) < 3)) if len(names) > 2} | {" ".join(form.numbers + ["|"] + names)}
-        k = budget(len(form.content) + len(form.numbers))
-        size = max(0, min(words, len(rest) - k))
-        out.update(h + "|" + " ".join(c) for h in heads for c in combinations(rest[: k + size], size))
+    near = near or {}
+    names = form.names - vague
+    heads, few = _heads(form, names)
+    out = {h + "|" + x for h in heads for x in _further(form, names, order, words)} if heads else set()
+    for first, last in leads(form) if few else []:
+        own = [w for w in form.all[first:last] if form.role[w] not in ("empty", "number")]
+        head = " ".join([*form.numbers, "|", *sorted(w for w in own if w not in near)]) + "~"
+        # a word a slip away from one without content may stand for that, so it needs no equal
+        firm = sorted(w for w in own if w in near and "~" not in near[w])
+        out.add(head + " ".join(firm))
+        for w in {w for w in own if w in near}:
+            at = firm.index(w) if "~" not in near[w] else len(firm)
+            rest = head + " ".join(firm[:at] + firm[at + 1 :]) + "~"
+            out.update(rest + k for k in near[w] if k != "~")
+    return [_hashed(x) for x in out]
+
+
+def name_keys(form: Form, order, words: int, vague: frozenset = frozenset()) -> tuple[list[int], list[int]]:
+    """The keys, hashed, of a form with less than two numbers and names that others tell: (as a training question, as
+    an evaluation question).
+
+    What a question's own capitals show to be a name stands in the other one too. A question with two of these, or a
+    number and one, meets all that have its two rarest; questions with one each meet by both."""
+    names = form.names - vague
+    if not _heads(form, names)[1]:
+        return [], []
+    further = _further(form, names, order, words)
+    own = sorted((w for w in form.content if form.role[w] in ("name", "name?")), key=order)
+    content = sorted(form.content, key=order)
+    number = " ".join(form.numbers)
+    if number:
+        holds, seeks = [f"n {number} {w}" for w in own[:1]], [f"n {number} {w}" for w in content]
     else:
-        for q in cores(question):
-            ws = sorted({m[0].lower().replace("’", "'") for m in _WORD.finditer(q)} - EMPTY - ASKING.keys() - form.names - set(form.numbers))
-            head = " ".join(form.numbers + ["|"] + names) + "|"
-            out.update(head + " ".join(ws[:i] + ws[i + 1 :]) + "~" + x for i, w in enumerate(ws) for x in less_one(w))
-            if not ws:
-                out.add(head + " ".join(form.all))
-    return [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in out]
+        holds = [f"2 {own[0]} {own[1]}", f"1 {own[0]}"] if len(own) > 1 else []
+        seeks = [f"1 {w}" for w in content] if len(content) > LONG else [f"2 {x} {y}" for x, y in combinations(content, 2)]
+    sides = []
+    for mine, other in (("t", "e"), ("e", "t")):
+        heads = [f"{mine}{x}" for x in holds] + [f"{other}{x}" for x in seeks]
+        if not number and len(own) == 1:
+            heads += [f"b {own[0]} {w}" if mine == "t" else f"b {w} {own[0]}" for w in content if w != own[0]]
+        sides.append([_hashed(f"{h}|{x}") for h in heads for x in further])
+    return sides[0], sides[1]
+
+
+def _hashed(x: str) -> int:
+    return xxhash.xxh3_64_intdigest(x) - (1 << 63)
 
 
 def _longest(a: list[str], b: list[str], same: set[tuple[str, str]], band: int) -> int:
@@ -195,10 +259,14 @@ def _in_order(a: list[str], b: list[str], same: set[tuple[str, str]]) -> int:
     return max(_longest(x, y, same, 2 * MOST) for x, y in ways)
 
 
-def _without_lead(f: Form, other: Form, kind) -> list[str]:
+def _asks(w: str, few: bool) -> bool:
+    return w in ASKING or few and w.partition("'")[0] in ASKING
+
+
+def _without_lead(f: Form, other: Form, kind, few: bool) -> list[str]:
     """The words of a question without a lead-in or an appendix: one to four words at an end that the other question
     doesn't have, or not so often, none of which asks, is a number or a name. What might be a name, since nothing
-    tells, is none if a sign parts it from the rest."""
+    tells, is none if a sign parts it from the rest. Where ``few`` names hold the questions together, "what's" asks."""
     own, first, last = f.all, 0, len(f.all)
     for step in (1, -1):
         left, n = Counter(own) - Counter(other.all), 0
@@ -208,7 +276,7 @@ def _without_lead(f: Form, other: Form, kind) -> list[str]:
             n += 1
         parted = (n if step == 1 else len(own) - n) in f.parted
         kinds = {kind(w) for w in words[:n]}
-        if 1 <= n <= 4 and not kinds & {"name", "number"} and not ASKING.keys() & set(words[:n]) and (parted or n > 1 and step == 1 and "unknown" not in kinds):
+        if 1 <= n <= 4 and not kinds & {"name", "number"} and not any(_asks(w, few) for w in words[:n]) and (parted or n > 1 and step == 1 and "unknown" not in kinds):
             first, last = (n, last) if step == 1 else (first, len(own) - n)
     return own[first:last]
 
@@ -217,9 +285,11 @@ def same_question(a: Form, b: Form) -> bool:
     """Whether two questions ask for the same fact about the same things.
 
     Numbers are equal and no name is without its equal; words that ask don't contradict. Other words may be one slip
-    apart. Words may be added, dropped or replaced in no more places than there are other ordinary words in common,
-    and at most a third of the content words, and only if two names or numbers hold the questions together. But for
-    a clause that moved from one end to the other, all but two words stand in the same order.
+    apart, with those edited two fifths of the content words, and one only where less than two names or numbers hold the
+    questions together; slips of words without content don't count. Words may be added, dropped or replaced in no more
+    places than there are other ordinary words in common, and at most a third of the content words, and only if two
+    names or numbers hold the questions together. But for a clause that moved from one end to the other, all but two
+    words stand in the same order.
     """
     if a.numbers != b.numbers or (a.asks and b.asks and not a.asks & b.asks):
         return False
@@ -233,15 +303,18 @@ def same_question(a: Form, b: Form) -> bool:
             return "name" if "name" in sure else "ordinary"
         return (a.role.get(w) or b.role.get(w)).rstrip("?")
 
-    wa, wb = _without_lead(a, b, kind), _without_lead(b, a, kind)
+    few = sum(kind(w) in ("name", "number") for w in set(a.all) & set(b.all)) < 2
+    wa, wb = _without_lead(a, b, kind, few), _without_lead(b, a, kind, few)
     more, less = list((Counter(wa) - Counter(wb)).elements()), list((Counter(wb) - Counter(wa)).elements())
     slips: set[tuple[str, str]] = set()
+    misspelt = 0
     for w in list(more):
         for x in less:
             if len(w) >= 3 and len(x) >= 3 and one_slip(w, x):
                 kinds = {kind(w, a), kind(x, b)}
                 if "name" not in kinds and ("ordinary" in kinds or "empty" in kinds or same_letters(w, x)):
                     slips.add((w, x))
+                    misspelt += "empty" not in kinds
                     more.remove(w)
                     less.remove(x)
                     break
@@ -252,6 +325,8 @@ def same_question(a: Form, b: Form) -> bool:
     anchors = sum(kind(w) in ("name", "number") for w in both)
     common = sum(kind(w) in ("ordinary", "unknown") for w in both) + sum(1 for w, _ in slips if kind(w) != "empty")
     edited = max(len(side) for side in lost)
+    if edited + misspelt > budget(anchors + common + edited) or few and misspelt > 1:
+        return False
     if edited:
         places = 0
         for ws, side in ((wa, lost[0]), (wb, lost[1])):
@@ -324,6 +399,43 @@ def _knows(ranks: dict, told: object):
     return lambda w: ranks[w][1] if w in ranks else own.get(w)
 
 
+def _marked(forms: DataFrame, shared, vague: frozenset) -> DataFrame:
+    """(form, word, vague): the content words of forms that may have less than two numbers and names, and the names, if
+    more than ``DOUBTFUL``, that a form itself writes small, as vague."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ranks = shared.value
+        for pdf in batches:
+            out = []
+            for id_, q, told in zip(pdf["form"], pdf["question"], pdf["told"]):
+                form = Form(q, _knows(ranks, told))
+                names = form.names - vague
+                small = [w for w in names if form.role[w] == "ordinary"]
+                if len(small) > DOUBTFUL:
+                    out += [(id_, w, True) for w in small]
+                elif _heads(form, names)[1]:
+                    out += [(id_, w, False) for w in form.content if len(w) >= 3]
+            yield pd.DataFrame(out, columns=["form", "word", "vague"])
+
+    return cut_lineage(forms.select("form", "question", "told").mapInPandas(run, "form long, word string, vague boolean"))
+
+
+def _near(words: DataFrame) -> DataFrame:
+    """(form, near): which of the (form, word) share a key of ``less_one`` with other words, as ``_neighbours`` reads it."""
+    empty = words.sparkSession.createDataFrame([(w,) for w in sorted({*EMPTY, *ASKING}) if len(w) >= 3], "word string").withColumn("empty", F.lit(True))
+    every = words.select("word").distinct().withColumn("empty", F.lit(False)).unionByName(empty)
+    less = F.array_distinct(F.concat(F.array("word"), F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.substring("word", i + 1, F.length("word"))))))
+    keys = every.withColumn("key", F.explode(less))
+    live = keys.groupBy("key").agg(F.count("*").alias("n"), F.max("empty").alias("loose")).where("n > 1").drop("n")
+    told = keys.where("not empty").select("key", "word").join(live, "key").groupBy("word").agg(F.array_join(F.collect_list("key"), ",").alias("keys"), F.max("loose").alias("loose"))
+    told = told.select("word", F.concat("word", F.lit("="), "word", F.lit(","), "keys", F.when(F.col("loose"), ",~").otherwise("")).alias("near"))
+    return words.join(told, "word").groupBy("form").agg(F.array_join(F.collect_list("near"), " ").alias("near"))
+
+
+def _neighbours(near: object) -> dict[str, set[str]]:
+    return {w: set(ks.split(",")) for w, _, ks in (x.partition("=") for x in near.split())} if isinstance(near, str) else {}
+
+
 def overlaps(examples: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pairs of forms, membership): (form_a, form_b) of a training and an evaluation form that ask for the same,
     and (id, form, side, split, source) of every delivered example.
@@ -350,21 +462,31 @@ def overlaps(examples: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = spark.sparkContext.broadcast({r["word"]: (i, r["ordinary"]) for i, r in enumerate(reversed(top))})
     forms = cut_lineage(forms.join(_told(forms, stats, shared), "form", "left"))
 
+    marked, left_out = _marked(forms, shared, frozenset()), frozenset()
+    if small := marked.where("vague").select("word").distinct().collect():
+        left_out = frozenset(r["word"] for r in small)
+        marked = _marked(forms, shared, left_out)
+    vague = spark.sparkContext.broadcast(left_out)
+    forms = forms.withColumn("near", F.lit(None).cast("string")) if marked.isEmpty() else cut_lineage(forms.join(_near(marked), "form", "left"))
+
     def keyed(rows: DataFrame, words: int) -> DataFrame:
         """The keys of all forms with ``words`` ordinary words in the first segment."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ranks = shared.value
+            ranks, left_out = shared.value, vague.value
             order = lambda w: (ranks[w][0] + 1 if w in ranks else 0, w)
             for pdf in batches:
-                for at in range(0, len(pdf), 1_000):
-                    part = pdf.iloc[at : at + 1_000]
-                    found = [join_keys(Form(q, _knows(ranks, told)), q, order, words) for q, told in zip(part["question"], part["told"])]
-                    n = [len(ks) for ks in found]
-                    flat = np.fromiter((k for ks in found for k in ks), np.int64, sum(n))
-                    yield pd.DataFrame({"key": flat, "form": np.repeat(part["form"].to_numpy(), n), "train": np.repeat(part["train"].to_numpy(), n), "evaluation": np.repeat(part["evaluation"].to_numpy(), n)})
-
-        return rows.select("form", "question", "told", "train", "evaluation").mapInPandas(run, "key long, form long, train boolean, evaluation boolean")
+                for at in range(0, len(pdf), 200):
+                    part = pdf.iloc[at : at + 200]
+                    found = []
+                    for id_, q, told, near, t, e in part[["form", "question", "told", "near", "train", "evaluation"]].itertuples(index=False, name=None):
+                        form, own = Form(q, _knows(ranks, told)), _neighbours(near)
+                        found += [(k, id_, t, e) for k in join_keys(form, q, order, words, own, left_out)]
+                        as_train, as_evaluation = name_keys(form, order, words, left_out)
+                        found += [(k, id_, True, False) for k in as_train if t] + [(k, id_, False, True) for k in as_evaluation if e]
+                    yield pd.DataFrame(found, columns=["key", "form", "train", "evaluation"])
+
+        return rows.select("form", "question", "told", "near", "train", "evaluation").mapInPandas(run, "key long, form long, train boolean, evaluation boolean")
 
     live, met = forms, None
     for words in range(LEVELS + 1):
